@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from cohortloom.functions import tails
@@ -19,37 +20,37 @@ from cohortloom.operators.suffstats import Moments
 from cohortloom.session import local_table
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) else tails.t_two_sided(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(c) else tails.f_sf(a, b, c) for a, b, c in zip(f, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else tails.chi2_sf(a, b) for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_normal(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else min(1.0, 2 * tails.normal_sf(abs(a))) for a in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([tails.fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def p_tukey(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else tails.studentized_range_sf(a, int(b), c) for a, b, c in zip(q, k, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def tukey_critical(alpha: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     seen: dict[tuple, float] = {}
     out = []
