@@ -48,7 +48,7 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str | Sequence[str], how:
     if not null_safe:
         return left.join(right, keys, how)
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
-    match = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys])
+    match = reduce(lambda a, b: a & b, [col(k).eqNullSafe(col(f"_right_{k}")) for k in keys])
     joined = left.join(renamed, match, how)
     if how in ("outer", "full", "right"):
         merged = [F.coalesce(col(k), col(f"_right_{k}")).alias(k) for k in keys]

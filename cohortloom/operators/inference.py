@@ -83,9 +83,9 @@ def mann_whitney(df: DataFrame, group: str, group1, group2, value: str, by: Sequ
     to fit in one task.
     """
     pool = df.where(col(group).isin(group1, group2))
-    ranked = avg_rank(pool, by, value, {"_n1": F.count_if(col(group) == group1)})
+    ranked = avg_rank(pool, by, value, col(group) == group1)
     sums = ranked.groupBy(*map(col, by)).agg(
-        F.sum("_n1").alias("n1"), F.sum(F.col("n") - F.col("_n1")).alias("n2"), F.sum(F.col("_n1") * F.col("avg_rank")).alias("r1"),
+        F.sum("hits").alias("n1"), F.sum(F.col("n") - F.col("hits")).alias("n2"), F.sum(F.col("hits") * F.col("avg_rank")).alias("r1"),
         F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -180,9 +180,9 @@ def two_by_two(df: DataFrame, row: str, row1, row2, column: str, col1, col2, by:
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Area under the ROC curve of a continuous score for 0/1 labels; ties count one half."""
-    ranked = avg_rank(df.where(col(label).isNotNull()), by, score, {"_pos": F.count_if(col(label) == 1)})
+    ranked = avg_rank(df.where(col(label).isNotNull()), by, score, col(label) == 1)
     sums = ranked.groupBy(*map(col, by)).agg(
-        F.sum("_pos").alias("n1"), F.sum(F.col("n") - F.col("_pos")).alias("n0"), F.sum(F.col("_pos") * F.col("avg_rank")).alias("r"))
+        F.sum("hits").alias("n1"), F.sum(F.col("n") - F.col("hits")).alias("n0"), F.sum(F.col("hits") * F.col("avg_rank")).alias("r"))
     n1 = F.col("n1").cast("double")
     return sums.select(*map(col, by), "n1", "n0", F.try_divide(F.col("r") - n1 * (n1 + 1) / 2, n1 * F.col("n0")).alias("auc"))
 

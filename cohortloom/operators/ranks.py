@@ -1,10 +1,9 @@
 """Exact ordering statistics without ever sorting a whole group in one task.
 
 The obvious plan for ranks, medians or cumulative minima is a window over the whole group, which puts all rows of a
-measure into a single task.  Here a group is first reduced to its distinct values with counts, then cut into slices of
-about equal size; the slice totals (a tiny table) give each slice its starting offset, and a window runs inside each
-slice only.  The cut points come from an approximate sketch, but they only decide where slices begin, so the results are
-exact whatever the sketch says.
+measure into a single task.  Here a mergeable sketch first proposes cut points per group (a small table whose size is
+checked before it is broadcast).  They cut a group into slices; slice totals give every slice its starting offset, and
+windows run inside slices of distinct values only.  The sketch decides where slices begin and never what the result is.
 """
 
 from __future__ import annotations
@@ -17,64 +16,107 @@ from pyspark.sql import Window as W
 
 from cohortloom.functions.cleaning import col
 from cohortloom.functions.hashing import order_hash
+from cohortloom.operators.align import keyed_join
+from cohortloom.session import bounded_broadcast
 
 SLICES = 64
+# Sketch accuracy for quantiles, and how far around a target the bracket reaches (several times the sketch error).
+ACCURACY = 2000
+MARGIN = 4 / ACCURACY
+
+
+def _with_small(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Attach a per-group table that fits a broadcast (or, beyond the bound, does not and is joined by shuffle)."""
+    checked = bounded_broadcast(small)
+    return keyed_join(df, checked, by, "inner", null_safe=True) if by else df.join(checked)
+
+
+def _offsets(counts: DataFrame, by: Sequence[str], order: Sequence[str], **extra: Column) -> DataFrame:
+    """Rows before each slice: a window over one row per group and slice."""
+    totals = counts.groupBy(*map(col, by), *order).agg(F.sum("n").alias("_m"), *[c.alias(k) for k, c in extra.items()])
+    earlier = W.partitionBy(*map(col, by)).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return totals.select(*map(col, by), *order, *extra, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"))
 
 
 def ranked_counts(
-    df: DataFrame, by: Sequence[str], value: str, carry: Mapping[str, Column] | None = None, slices: int = SLICES,
+    df: DataFrame, by: Sequence[str], value: str, hit: Column | None = None, slices: int = SLICES,
 ) -> DataFrame:
     """One row per distinct ``(by, value)``: ``n`` copies, ``before`` smaller rows, ``total`` rows of the group.
 
-    ``carry`` adds aggregates per distinct value (for example a count of positives).  ``slice`` tells the slice.
-    Missing values are left out.
+    With ``hit`` the copies that meet the condition are counted as ``hits``.  ``slice`` tells the slice.  Missing values
+    are left out.
     """
-    carry = dict(carry or {})
     by = list(by)
-    counts = df.where(col(value).isNotNull()).groupBy(*map(col, by), col(value).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in carry.items()])
+    hit = F.coalesce(hit, F.lit(False)) if hit is not None else None
+    known = df.where(col(value).isNotNull())
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    cuts = counts.groupBy(*map(col, by)).agg(
-        F.percentile_approx("value", probs, 20 * slices).alias("_cuts"), F.sum("n").alias("total"),
-        *[F.sum(k).alias(f"total_{k}") for k in carry])
-    match = [counts[b].eqNullSafe(cuts[b]) for b in by]
-    if by:
-        joined = counts.join(cuts, match).drop(*[cuts[b] for b in by])
+    cuts = known.groupBy(*map(col, by)).agg(
+        F.array_distinct(F.percentile_approx(col(value), probs, 10 * slices)).alias("_cuts"), F.count(F.lit(1)).alias("total"))
+    joined = _with_small(known, cuts, by)
+    sliced = joined.withColumn("slice", F.size(F.filter("_cuts", lambda c: c < col(value))))
+    grouped = sliced.groupBy(*map(col, by), "slice", col(value).alias("value"), "total")
+    if hit is None:
+        counts = grouped.agg(F.count(F.lit(1)).alias("n"))
     else:
-        joined = counts.join(F.broadcast(cuts))  # one row
-    sliced = joined.withColumn("slice", F.size(F.filter("_cuts", lambda c: c < F.col("value")))).drop("_cuts")
-    by_slice = sliced.groupBy(*map(col, by), "slice").agg(F.sum("n").alias("_slice_n"))
-    # One row per group and slice: a window over it is small however large the group is.
-    earlier = W.partitionBy(*map(col, by)).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = by_slice.select(*map(col, by), "slice", F.coalesce(F.sum("_slice_n").over(earlier), F.lit(0)).alias("_start"))
-    on = [sliced[b].eqNullSafe(starts[b]) for b in [*by, "slice"]]
-    placed = sliced.join(starts, on).drop(*[starts[b] for b in [*by, "slice"]])
+        # Both parts make up n, so the slice totals and the ranking read the same shuffle.
+        counts = grouped.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("_others"))
+        counts = counts.withColumn("n", F.col("hits") + F.col("_others")).drop("_others")
+    placed = keyed_join(counts, _offsets(counts, by, ["slice"]), [*by, "slice"], "inner", null_safe=True)
     inside = W.partitionBy(*map(col, by), "slice").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     return placed.withColumn("before", before).drop("_start")
 
 
-def avg_rank(df: DataFrame, by: Sequence[str], value: str, carry: Mapping[str, Column] | None = None) -> DataFrame:
+def avg_rank(df: DataFrame, by: Sequence[str], value: str, hit: Column | None = None) -> DataFrame:
     """Mid-ranks (ties share the mean of their positions), one row per distinct value."""
-    ranked = ranked_counts(df, by, value, carry)
+    ranked = ranked_counts(df, by, value, hit)
     return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probs``; NULLs are left out.
 
-    Each group's answer needs only the one or two values at its target positions, picked from the ranked table.
+    A sketch brackets every target within a fraction of a percent of the rows.  One more scan counts what lies below the
+    bracket and keeps the values inside it, so only that sliver is shuffled and ordered.  Should a sketch ever miss its
+    target the job stops with an error instead of returning a neighbour; ``ranked_counts`` needs no such bracket.
     """
-    ranked = ranked_counts(df, by, value)
+    by, names = list(by), list(probs)
+    known = df.where(col(value).isNotNull()).select(*map(col, by), col(value).alias("_x"))
+    edges = [e for p in probs.values() for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
+    sketch = known.groupBy(*map(col, by)).agg(
+        F.percentile_approx("_x", F.array(*map(F.lit, edges)), ACCURACY).alias("_edges"), F.count(F.lit(1)).alias("_total"))
+    brackets = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("_edges")[2 * j].alias("lo"), F.col("_edges")[2 * j + 1].alias("hi"))
+                                   for j in range(len(names))])).alias("b")
+    long = _with_small(known, sketch, by).select(*map(col, by), "_x", "_total", brackets)
+    side = F.when(F.col("_x") < F.col("b.lo"), -1).when(F.col("_x") > F.col("b.hi"), 1).otherwise(0)
+    # Equal-width slices inside the narrow bracket.
+    part = F.floor((F.col("_x") - F.col("b.lo")) / F.nullif(F.col("b.hi") - F.col("b.lo"), F.lit(0)) * SLICES)
+    placed = long.select(*map(col, by), "_x", "_total", F.col("b.j").alias("_j"), side.alias("_side"), part.alias("_part"))
+    inside = F.col("_side") == 0
+    counts = placed.groupBy(*map(col, by), "_j", "_total", "_side", F.coalesce(F.when(inside, F.col("_part")), F.lit(0)).alias("_slice"),
+                            F.when(inside, F.col("_x")).alias("_v")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
+    keys = [*by, "_j"]
+    # The slice table carries the extremes as well: needing the same columns, both uses share one scan and shuffle.
+    starts = _offsets(counts, keys, ["_side", "_slice"], _low=F.min("_least"), _high=F.max("_most"))
+    joined = keyed_join(counts, starts, [*keys, "_side", "_slice"], "inner", null_safe=True)
+    w = W.partitionBy(*map(col, keys), "_side", "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = joined.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(w), F.lit(0)))
     aggs = []
-    for name, p in probs.items():
-        position = F.lit(float(p)) * (F.col("total") - 1)
+    for j, name in enumerate(names):
+        position = F.lit(float(probs[name])) * (F.col("_total") - 1)
         low, high = F.floor(position), F.ceil(position)
-        holds = lambda k: (F.col("before") <= k) & (k < F.col("before") + F.col("n"))
-        at_low = F.max(F.when(holds(low), F.col("value")))
-        at_high = F.max(F.when(holds(high), F.col("value")))
-        share = F.max(position - low)
-        aggs.append((at_low + (at_high - at_low) * share).alias(name))
+
+        def at(k: Column, j: int = j) -> Column:
+            # The rows just outside the bracket may be needed for interpolation: their extremes are kept.
+            here = F.when(inside & (F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("_v")).when(
+                (F.col("_side") == -1) & (k == F.col("n") - 1), F.greatest("_most", "_high")).when(
+                (F.col("_side") == 1) & (k == F.col("before")), F.least("_least", "_low"))
+            return F.max(F.when(F.col("_j") == j, here))
+
+        share = F.max(F.when(F.col("_j") == j, position - low))
+        missed = F.raise_error(F.lit(f"the sketch missed quantile {name}")).cast("double")
+        aggs.append(F.coalesce(at(low) + (at(high) - at(low)) * share, missed).alias(name))
     return ranked.groupBy(*map(col, by)).agg(*aggs)
 
 
@@ -91,12 +133,12 @@ def hashed_row_number(df: DataFrame, by: Sequence[str], key: str | Column, seed:
     """
     by = list(by)
     marked = df.withColumn("_order", order_hash(key, seed)).withColumn("_slice", F.substring("_order", 1, digits))
-    totals = marked.groupBy(*map(col, by), "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*map(col, by)).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = totals.select(*map(col, by), "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
-                           F.sum("_n").over(W.partitionBy(*map(col, by))).alias("group_rows"))
-    on = [marked[b].eqNullSafe(starts[b]) for b in [*by, "_slice"]]
-    placed = marked.join(starts, on).drop(*[starts[b] for b in [*by, "_slice"]])
+    counts = marked.groupBy(*map(col, by), "_slice").agg(F.count(F.lit(1)).alias("n"))
+    sizes = F.sum("_size").over(W.partitionBy(*map(col, by)))
+    starts = _offsets(counts, by, ["_slice"])
+    totals = keyed_join(starts, counts.withColumnRenamed("n", "_size"), [*by, "_slice"], "inner", null_safe=True)
+    small = totals.withColumn("group_rows", sizes).drop("_size")
+    placed = keyed_join(marked, small, [*by, "_slice"], "inner", null_safe=True)
     inside = W.partitionBy(*map(col, by), "_slice").orderBy("_order")
     return placed.withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_order", "_slice", "_start")
 
@@ -113,13 +155,11 @@ def fdr_bh(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05, o
     mins = raw.groupBy(*map(col, by), "slice").agg(F.min("_raw").alias("_least"))
     above = W.partitionBy(*map(col, by)).orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
     tops = mins.select(*map(col, by), "slice", F.min("_least").over(above).alias("_above"))
-    on = [raw[b].eqNullSafe(tops[b]) for b in [*by, "slice"]]
     inside = W.partitionBy(*map(col, by), "slice").orderBy(F.col("value").desc()).rowsBetween(W.unboundedPreceding, 0)
-    joined = raw.join(tops, on).drop(*[tops[b] for b in [*by, "slice"]])
-    adjusted = joined.select(*map(col, by), F.col("value").alias("_p"),
+    joined = keyed_join(raw, tops, [*by, "slice"], "inner", null_safe=True)
+    adjusted = joined.select(*map(col, by), F.col("value").alias(p),
                              F.least(F.min("_raw").over(inside), F.col("_above"), F.lit(1.0)).alias(out))
-    match = [df[b].eqNullSafe(adjusted[b]) for b in by] + [df[p] == adjusted["_p"]]
-    result = df.join(adjusted, match, "left").drop("_p", *[adjusted[b] for b in by])
+    result = keyed_join(df, adjusted, [*by, p], "left", null_safe=True)
     return result.withColumn("significant", F.col(out) < alpha)
 
 

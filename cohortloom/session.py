@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
@@ -57,6 +60,18 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
+def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """A small computed table, marked for broadcast once its size has been checked.
+
+    The table is computed here and now.  Up to ``limit`` rows it becomes a broadcast side; beyond that it is returned
+    unmarked, and Spark joins it by shuffle.
+    """
+    table = df.limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+
+
 def levels(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Sorted distinct non-missing values of a category column (bounded)."""
     c = F.col(quoted(column))
@@ -70,5 +85,10 @@ def quoted(name: str) -> str:
 
 
 def local_table(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
-    """A parameter table made on the driver (size bounded by its caller)."""
-    return spark.createDataFrame(list(rows), schema)
+    """A parameter table made on the driver (size bounded by its caller); an Arrow table stays a local relation, so
+    Spark knows its size and starts no job to build it."""
+    kind = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [[] for _ in kind.fields]
+    arrow = to_arrow_schema(kind)
+    table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, kind)
