@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_SPAN = 16**7
@@ -26,3 +26,18 @@ def order_hash(key: Column | str, salt: str | int | Column = 0) -> Column:
     key = F.col(key) if isinstance(key, str) else key
     salt = salt if isinstance(salt, Column) else F.lit(str(salt))
     return F.md5(F.concat(key.cast("string"), F.lit("|"), salt.cast("string")))
+
+
+# Largest prime below the span of the key hash.
+REPLICATE_PRIME = 268_435_399
+
+
+def with_replicate_hashes(df: DataFrame, key: Column | str, seed: int) -> DataFrame:
+    """Two hashes per row from which ``replicate_number`` derives a number for any replicate by arithmetic alone."""
+    return df.withColumn("_h1", key_hash(key, f"{seed}:a")).withColumn("_h2", key_hash(key, f"{seed}:b"))
+
+
+def replicate_number(rep: Column | str) -> Column:
+    """Number in 0..prime-1 for (row, replicate): uniform over rows, pairwise independent over replicates."""
+    rep = F.col(rep) if isinstance(rep, str) else rep
+    return F.pmod(F.col("_h1") + rep * F.col("_h2"), F.lit(REPLICATE_PRIME).cast("long"))

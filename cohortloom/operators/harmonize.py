@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
-from cohortloom.operators.latent import pack, unpack
+from cohortloom.operators.latent import pack, spread, unpack
 from cohortloom.operators.scaling import impute_site_median, restore_missing
 from cohortloom.operators.suffstats import Moments, vector_moments
 from cohortloom.session import local_table
@@ -203,14 +203,13 @@ def apply_covariance(df: DataFrame, model: CovarianceModel, site: str, vector: s
 
     @F.pandas_udf("array<double>")
     def rotate(v: pd.Series, slope: pd.Series, offset: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
         here = (v.notna() & slope.notna()).to_numpy()
-        if here.any():
-            z = (np.stack(v[here].to_numpy()) - mean) / scale
-            t = z @ axes
-            moved = np.stack(slope[here].to_numpy()) * t + np.stack(offset[here].to_numpy())
-            out[here] = list((z + (moved - t) @ axes.T) * scale + mean)
-        return out
+        if not here.any():
+            return spread(here, ())
+        z = (np.stack(v[here].to_numpy()) - mean) / scale
+        t = z @ axes
+        moved = np.stack(slope[here].to_numpy()) * t + np.stack(offset[here].to_numpy())
+        return spread(here, (z + (moved - t) @ axes.T) * scale + mean)
 
     back = F.zip_with(rotate(col(vector), F.col("_slope"), F.col("_offset")), _centre(m), lambda r, g: r + g)
     return joined.select(*[back.alias(vector) if c == vector else col(c) for c in df.columns])

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from cohortloom.functions import tails
 from cohortloom.functions.cleaning import col
-from cohortloom.functions.hashing import order_hash
+from cohortloom.functions.hashing import replicate_number, with_replicate_hashes
 from cohortloom.operators.align import pairs_of_groups
 from cohortloom.operators.ranks import avg_rank
 from cohortloom.operators.suffstats import Moments
@@ -187,29 +187,30 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
     return sums.select(*map(col, by), "n1", "n0", F.try_divide(F.col("r") - n1 * (n1 + 1) / 2, n1 * F.col("n0")).alias("auc"))
 
 
-def permuted_auc(df: DataFrame, key: str, score: str, label: str, replicates: int, seed: int = 42, digits: int = 3) -> DataFrame:
+def permuted_auc(df: DataFrame, key: str, score: str, label: str, replicates: int, seed: int = 42) -> DataFrame:
     """AUC after shuffling the labels, one row per replicate ``(rep, auc)``.
 
-    Shuffling labels means drawing the positives anew: in each replicate the n1 rows with the smallest key hashes are
-    the positives.  Scores are ranked once.  Hash slices below the cut are summed with map-side combining; only the one
-    slice that holds the cut is sorted, so a replicate is never sorted as a whole.
+    Shuffling labels means drawing the positives anew: in each replicate the n1 rows with the smallest random numbers
+    are the positives.  Scores are ranked once and keys are hashed once.  Slices of the numbers below the cut are summed
+    with map-side combining; only the one slice that holds the cut is sorted, so a replicate is never sorted as a whole.
     """
     pool = df.where(col(score).isNotNull() & col(label).isNotNull())
     ranks = avg_rank(pool, [], score).select("value", "avg_rank")
     rows = pool.select(col(key).alias("_key"), col(score).alias("value"), col(label).alias("_label")).join(ranks, "value")
     sizes = pool.agg(F.count_if(col(label) == 1).alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = int(sizes["n1"]), int(sizes["n"])
-    draws = rows.select("_key", "avg_rank", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draws = draws.withColumn("_order", order_hash("_key", F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"))))
-    draws = draws.withColumn("slice", F.substring("_order", 1, digits))
+    hashed = with_replicate_hashes(rows, "_key", seed).select(
+        "_key", "avg_rank", "_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    number = replicate_number("rep")
+    draws = hashed.withColumn("_order", number).withColumn("slice", F.floor(number / F.lit(2**16)))
     slices = draws.groupBy("rep", "slice").agg(F.count(F.lit(1)).alias("m"), F.sum("avg_rank").alias("ranks"))
-    # At most 16**digits rows per replicate.
+    # At most 4096 rows per replicate.
     so_far = F.sum("m").over(W.partitionBy("rep").orderBy("slice"))
     placed = slices.withColumn("upto", so_far).withColumn("from", F.col("upto") - F.col("m"))
     whole = placed.where(F.col("upto") <= n1).select("rep", "ranks")
     cut = placed.where((F.col("upto") > n1) & (F.col("from") < n1)).select("rep", "slice", (F.lit(n1) - F.col("from")).alias("need"))
     inside = draws.join(cut, ["rep", "slice"])
-    picked = inside.withColumn("_i", F.row_number().over(W.partitionBy("rep", "slice").orderBy("_order"))).where(F.col("_i") <= F.col("need"))
+    picked = inside.withColumn("_i", F.row_number().over(W.partitionBy("rep", "slice").orderBy("_order", "_key"))).where(F.col("_i") <= F.col("need"))
     totals = whole.unionByName(picked.select("rep", F.col("avg_rank").alias("ranks"))).groupBy("rep").agg(F.sum("ranks").alias("r"))
     return totals.select("rep", ((F.col("r") - n1 * (n1 + 1) / 2) / (float(n1) * (n - n1))).alias("auc"))
 

@@ -31,18 +31,20 @@ def unpack(df: DataFrame, vector: str, names: Sequence[str]) -> DataFrame:
     return df.select(*kept, *[col(vector)[i].alias(n) for i, n in enumerate(names)])
 
 
+def spread(here: np.ndarray, rows: Sequence) -> pd.Series:
+    """Arrays for the marked rows, None for the others."""
+    it = iter(rows)
+    return pd.Series([next(it) if h else None for h in here], dtype=object)
+
+
 def project(vector: str | Column, centre: np.ndarray, weights: np.ndarray) -> Column:
     """Array of scores ``(x - centre) @ weights`` with numpy over Arrow batches; a NULL vector gives NULL."""
     centre, weights = np.asarray(centre, float), np.asarray(weights, float)
 
     @F.pandas_udf("array<double>")
     def scores(v: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(v), dtype=object)
         here = v.notna().to_numpy()
-        if here.any():
-            result = (np.stack(v[here].to_numpy()) - centre) @ weights
-            out[here] = list(result)
-        return out
+        return spread(here, (np.stack(v[here].to_numpy()) - centre) @ weights if here.any() else ())
 
     return scores(col(vector).cast("array<double>"))
 

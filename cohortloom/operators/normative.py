@@ -17,16 +17,21 @@ from cohortloom.operators.suffstats import moments
 def fit_norms(reference: DataFrame, features: Sequence[str], covariates: Sequence[str]) -> dict[str, tuple[np.ndarray, float, float]]:
     """``{feature: (covariate slopes, intercept, population sd of the residuals)}`` on the complete reference rows of
     each feature.  All features share one pass: rows are unfolded per feature and summed on the map side."""
-    doubles = reference.select(*[col(c).cast("double").alias(c) for c in [*covariates, *features]])
-    long = complete_cases(doubles.unpivot(list(covariates), list(features), "_feature", "_y"))
-    m = moments(long, [*covariates, "_y"], ["_feature"])
+    names = [*covariates, *features]
+    doubles = reference.select(*[col(c).cast("double").alias(c) for c in names])
+    # Features differ in scale by orders of magnitude; each is moved near zero before they share one column.
+    head = doubles.limit(1000).agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(features)]).first()
+    near = {f: float(head[i] or 0.0) for i, f in enumerate(features)}
+    moved = doubles.select(*map(col, covariates), *[(col(f) - F.lit(near[f])).alias(f) for f in features])
+    long = complete_cases(moved.unpivot(list(covariates), list(features), "_feature", "_y"))
+    m = moments(long, [*covariates, "_y"], ["_feature"], shift={"_y": 0.0})
     out = {}
     for key in m.keys:
         one = m.of(key)
         model = solve_ols(one)
         c = one.scatter
         rss = c[-1, -1] - model.coef @ c[:-1, -1]
-        out[key[0]] = (model.coef, model.intercept, float(np.sqrt(max(rss, 0.0) / one.size)))
+        out[key[0]] = (model.coef, model.intercept + near[key[0]], float(np.sqrt(max(rss, 0.0) / one.size)))
     return out
 
 

@@ -16,7 +16,7 @@ from cohortloom.operators.resample import assign_folds_stratified, stratified_sp
 from cohortloom.operators.rows import complete_cases
 from cohortloom.operators.scaling import standardize
 from cohortloom.operators.suffstats import moments
-from cohortloom.session import small_rows
+from cohortloom.session import cut_lineage, small_rows
 
 
 def extreme_groups(df: DataFrame, score: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
@@ -39,11 +39,12 @@ def pls_da(
     All candidate models are scored on their held-out folds together, as one ranked pass over (components, fold).
     """
     known = extreme_groups(complete_cases(df, [*features, score]), score)
-    split = stratified_split(known.withColumn("_key", key if isinstance(key, Column) else col(key)), "high", "_key", 0.2, seed)
+    slim = known.select((key if isinstance(key, Column) else col(key)).alias("_key"), *map(col, features), "high")
+    split = cut_lineage(stratified_split(slim, "high", "_key", 0.2, seed))
     train, test = split.where(~F.col("is_test")), split.where("is_test")
     base = split if scale_on == "all" else train
     train, test = standardize(train, features, base), standardize(test, features, base)
-    folded = assign_folds_stratified(train, "high", "_key", folds, seed + 1, "_fold").persist()
+    folded = cut_lineage(assign_folds_stratified(train, "high", "_key", folds, seed + 1, "_fold"))
     m = moments(folded, [*features, "high"], ["_fold"])
     most = min(most, len(features))
     models = {(k[0], c): fit_pls(m.without(k), c)[0] for k in m.keys for c in range(1, most + 1)}
@@ -58,7 +59,7 @@ def pls_da(
     mean = {c: float(np.mean([r["auc"] for r in per_fold if r["components"] == c])) for c in range(1, most + 1)}
     best = max(mean, key=lambda c: (mean[c], -c))
     model, weights = fit_pls(m.total(), best)
-    tested = test.select("_key", "high", model.predict().alias("_score"))
+    tested = cut_lineage(test.select("_key", "high", model.predict().alias("_score")))
     result = permutation_test(tested, "_key", "_score", "high", permutations, seed)
     out = result.select(F.lit(best).alias("components"), F.lit(mean[best]).alias("cv_auc"), F.col("observed").alias("test_auc"), "p", "replicates")
     return out, weights_table(df.sparkSession, list(features), weights[:, 0])

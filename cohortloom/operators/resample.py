@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
-from cohortloom.functions.hashing import key_hash, unit_hash
+from cohortloom.functions.hashing import REPLICATE_PRIME, key_hash, replicate_number, with_replicate_hashes
 from cohortloom.operators.ranks import hashed_row_number
 
 
@@ -36,24 +36,27 @@ def stratified_split(df: DataFrame, label: str, key: str | Column, test: float =
 POISSON_STEPS = tuple(float(v) for v in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]))
 
 
-def poisson_weight(key: str | Column, rep: str | int | Column) -> Column:
-    """Bootstrap weight of a row in a replicate: Poisson(1) by inverse distribution function on the key hash."""
-    u = unit_hash(key, rep)
+POISSON_CUTS = tuple(round(step * REPLICATE_PRIME) for step in POISSON_STEPS)
+
+
+def poisson_weight(number: Column) -> Column:
+    """Bootstrap weight: Poisson(1) by inverse distribution function on a replicate number."""
     weight = F.lit(0)
-    for step in POISSON_STEPS:
-        weight = weight + (u >= F.lit(step)).cast("int")
+    for cut in POISSON_CUTS:
+        weight = weight + (number >= F.lit(cut)).cast("int")
     return weight
 
 
 def bootstrap_rows(df: DataFrame, key: str | Column, replicates: int, seed: int = 42) -> DataFrame:
     """Rows with ``rep`` and ``weight`` columns, rows of weight 0 left out.
 
-    The replicates are unfolded inside the scan stage and are meant to be aggregated right away (partial sums per
-    replicate), so copies never cross the network.
+    Keys are hashed once per row; a replicate costs a little integer arithmetic.  The replicates are unfolded inside the
+    scan stage and are meant to be aggregated right away (partial sums per replicate), so copies never cross the network.
     """
-    reps = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    salt = F.concat(F.lit(f"{seed}:"), F.col("rep").cast("string"))
-    return reps.withColumn("weight", poisson_weight(key, salt)).where(F.col("weight") > 0)
+    hashed = with_replicate_hashes(df, key, seed)
+    reps = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    number = replicate_number("rep")
+    return reps.where(number >= F.lit(POISSON_CUTS[0])).withColumn("weight", poisson_weight(number)).drop("_h1", "_h2")
 
 
 def bootstrap_means(df: DataFrame, key: str | Column, columns: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:

@@ -87,11 +87,12 @@ def _guard(keys: int, width: int) -> None:
 
 def moments(
     df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), weight: str | None = None, max_keys: int = 100_000,
+    shift: dict[str, float] | None = None,
 ) -> Moments:
     """Moments of numeric columns over complete rows, per combination of ``by``.
 
     Up to a dozen columns are plain SQL sums inside generated code; wider tables send Arrow batches to numpy, where each
-    task returns one partial matrix per key.
+    task returns one partial matrix per key.  ``shift`` fixes the shift of single columns.
     """
     columns = list(columns)
     x = df.select(*map(col, by), *([col(weight)] if weight else []), *[col(c).cast("double").alias(c) for c in columns])
@@ -100,7 +101,8 @@ def moments(
         packed = x.select(*map(col, by), *([col(weight)] if weight else []), F.array(*map(col, columns)).alias("_v"))
         return vector_moments(packed, "_v", by, weight, max_keys, columns)
     first = x.limit(1000).agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    shift = np.array([float(v) if v is not None else 0.0 for v in first])
+    fixed = shift or {}
+    shift = np.array([float(fixed.get(c, v if v is not None else 0.0)) for c, v in zip(columns, first)])
     w = col(weight).cast("double") if weight else F.lit(1.0)
     d = [col(c) - F.lit(float(shift[i])) for i, c in enumerate(columns)]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]

@@ -9,7 +9,7 @@ from cohortloom.operators import inference as I
 from cohortloom.operators import resample as S
 from cohortloom.operators.linear import oof_linear
 from cohortloom.operators.suffstats import vector_moments
-from cohortloom.plans.registry import FEATURES, LINE_KEY, key_hash_sql, order_hash_sql, query
+from cohortloom.plans.registry import FEATURES, LINE_KEY, key_hash_sql, order_hash_sql, query, replicate_number_sql
 from cohortloom.plans.summary_queries import _RANK_SQL, long_features, rounded
 from cohortloom.session import local_table
 
@@ -133,7 +133,7 @@ def auc(t):
 @query("permutation_auc", f"""WITH {_SCORED_SQL},
  ranked AS (SELECT doc_id, ar FROM (SELECT score, sum(count(*)) OVER (ORDER BY score) - count(*) + (count(*) + 1) / 2.0::DOUBLE AS ar FROM scored GROUP BY score) JOIN scored USING (score)),
  sizes AS (SELECT count(*) FILTER (quality = 1) AS n1, count(*) AS n FROM scored),
- draws AS (SELECT rep, ar, row_number() OVER (PARTITION BY rep ORDER BY {order_hash_sql('doc_id', "('42:' || rep)")}) AS i FROM ranked, (SELECT unnest(range(0, 1000)) AS rep))
+ draws AS (SELECT rep, ar, row_number() OVER (PARTITION BY rep ORDER BY {replicate_number_sql('doc_id', 42)}, doc_id) AS i FROM ranked, (SELECT unnest(range(0, 1000)) AS rep))
 SELECT rep::INTEGER AS rep, round((sum(ar) FILTER (i <= n1) - n1 * (n1 + 1) / 2) / (n1::DOUBLE * (n - n1)), 8) AS auc FROM draws, sizes GROUP BY rep, n1, n""")
 def permutation_auc(t):
     """A thousand label shuffles."""
@@ -164,15 +164,17 @@ def stratified_folds(t):
     return S.assign_folds_stratified(t("labels").select("doc_id", "quality"), "quality", "doc_id", 5)
 
 
-def poisson_sql(key: str, salt: str) -> str:
-    u = f"('0x' || substr(md5(CAST({key} AS VARCHAR) || '|' || {salt}), 1, 7))::BIGINT / 268435456.0::DOUBLE"
-    return "(" + " + ".join(f"CAST({u} >= {step!r}::DOUBLE AS INTEGER)" for step in S.POISSON_STEPS) + ")"
+def bootstrap_sql(replicates: int, columns: str, source: str = "lineitem") -> str:
+    """Rows x replicates with their weight."""
+    weight = " + ".join(f"CAST(x >= {cut} AS INTEGER)" for cut in S.POISSON_CUTS)
+    return f"""(SELECT *, {weight} AS w FROM (SELECT {columns}, rep, ({replicate_number_sql(LINE_KEY, 42)}) AS x
+ FROM {source}, (SELECT unnest(range(0, {replicates})) AS rep)) WHERE x >= {S.POISSON_CUTS[0]})"""
 
 
-@query("bootstrap_means", f"""WITH w AS (SELECT rep, l_quantity, l_extendedprice, {poisson_sql(LINE_KEY, "('42:' || rep)")} AS w FROM lineitem, (SELECT unnest(range(0, 10)) AS rep))
-SELECT rep::INTEGER AS rep, sum(w)::BIGINT AS n, round(sum(w * l_quantity) / sum(w), 6) AS l_quantity, round(sum(w * l_extendedprice) / sum(w), 4) AS l_extendedprice FROM w GROUP BY rep""")
+@query("bootstrap_means", f"""SELECT rep::INTEGER AS rep, sum(w)::BIGINT AS n, round(sum(w * l_quantity) / sum(w), 6) AS l_quantity, round(sum(w * l_extendedprice) / sum(w), 4) AS l_extendedprice
+ FROM {bootstrap_sql(20, 'l_quantity, l_extendedprice')} GROUP BY rep""")
 def bootstrap_means(t):
-    b = S.bootstrap_means(t("lineitem"), F.expr(LINE_KEY), ["l_quantity", "l_extendedprice"], 10)
+    b = S.bootstrap_means(t("lineitem"), F.expr(LINE_KEY), ["l_quantity", "l_extendedprice"], 20)
     return rounded(b, 6, "l_quantity").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
 
 

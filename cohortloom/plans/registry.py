@@ -44,6 +44,10 @@ def key_hash_sql(expr: str, salt: str | int) -> str:
     return f"('0x' || substr(md5(CAST({expr} AS VARCHAR) || '|{salt}'), 1, 7))::BIGINT"
 
 
+def replicate_number_sql(expr: str, seed: int, rep: str = "rep") -> str:
+    return f"(({key_hash_sql(expr, f'{seed}:a')} + {rep} * {key_hash_sql(expr, f'{seed}:b')}) % 268435399)"
+
+
 def order_hash_sql(expr: str, salt: str) -> str:
     return f"md5(CAST({expr} AS VARCHAR) || '|' || {salt})"
 
