@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
 from cohortloom.operators.describe import joint_z_profile
-from cohortloom.operators.inference import mann_whitney, pearson_test
+from cohortloom.operators.inference import mann_whitney, pearson_test, rank_test
 from cohortloom.operators.latent import Components, principal_components
 from cohortloom.operators.normative import normative_z
 from cohortloom.operators.ranks import exact_median, fdr_bh
@@ -118,11 +118,13 @@ def cluster_vs_reference(clustered: DataFrame, reference: DataFrame, measures: S
 
 
 def pairwise_mann_whitney(df: DataFrame, group: str, labels: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Every pair of groups on every measure, with adjusted p-values over all of them."""
-    long = df.unpivot([group], list(measures), "measure", "value")
-    parts = [mann_whitney(long, group, a, b, "value", ["measure"]).select("measure", F.lit(a).alias("group1"), F.lit(b).alias("group2"), "u", "z", "p")
-             for i, a in enumerate(labels) for b in labels[i + 1:]]
-    return fdr_bh(stack(parts), "p", out="p_corrected")
+    """Every pair of groups on every measure, with adjusted p-values over all of them; one ranking pass serves all pairs."""
+    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1:]]
+    mine = F.array_compact(F.array(*[F.when(col(group).isin(a, b), F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2"))) for a, b in pairs]))
+    long = df.select(col(group).alias("_group"), *map(col, measures), F.explode(mine).alias("_pair")).select("_group", "_pair.*", *map(col, measures))
+    rows = long.unpivot(["_group", "group1", "group2"], list(measures), "measure", "value")
+    tests = rank_test(rows, "value", F.col("_group") == F.col("group1"), ["measure", "group1", "group2"])
+    return fdr_bh(tests, "p", out="p_corrected")
 
 
 def logit_inference(df: DataFrame, outcome: str, terms: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -82,8 +82,12 @@ def mann_whitney(df: DataFrame, group: str, group1, group2, value: str, by: Sequ
     Only distinct values with their counts are ranked (see ``ranks``), so neither a measure nor a heavily tied value has
     to fit in one task.
     """
-    pool = df.where(col(group).isin(group1, group2))
-    ranked = avg_rank(pool, by, value, col(group) == group1)
+    return rank_test(df.where(col(group).isin(group1, group2)), value, col(group) == group1, by, p_values)
+
+
+def rank_test(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), p_values: bool = True) -> DataFrame:
+    """Rank-sum test of the rows where ``first`` holds against the others, per ``by``."""
+    ranked = avg_rank(df, by, value, first)
     sums = ranked.groupBy(*map(col, by)).agg(
         F.sum("hits").alias("n1"), F.sum(F.col("n") - F.col("hits")).alias("n2"), F.sum(F.col("hits") * F.col("avg_rank")).alias("r1"),
         F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from cohortloom.functions.cleaning import col
 from cohortloom.functions.hashing import order_hash
 from cohortloom.operators.align import keyed_join
-from cohortloom.session import bounded_broadcast
+from cohortloom.session import bounded_broadcast, settle
 
 SLICES = 64
 # Sketch accuracy for quantiles, and how far around a target the bracket reaches (several times the sketch error).
@@ -143,24 +143,30 @@ def hashed_row_number(df: DataFrame, by: Sequence[str], key: str | Column, seed:
     return placed.withColumn(name, F.col("_start") + F.row_number().over(inside)).drop("_order", "_slice", "_start")
 
 
-def fdr_bh(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05, out: str = "p_fdr") -> DataFrame:
+def fdr_bh(df: DataFrame, p: str, by: Sequence[str] = (), alpha: float = 0.05, out: str = "p_fdr", small: int = 100_000) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values: the reverse cumulative minimum of p x m / rank, at most 1.
 
-    Tests are usually few, but the slice plan also serves millions of them: slice minima are accumulated from the top
-    down and each slice then needs only the minimum of the slices above it.
+    The table of tests is computed once.  A usual one (up to ``small`` tests) is adjusted by plain windows; millions of
+    tests use slices: slice minima are accumulated from the top down, and each slice needs only the minimum of the slices
+    above it.
     """
     by = list(by)
-    ranked = ranked_counts(df, by, p)
-    raw = ranked.withColumn("_raw", F.col("value") * F.col("total") / (F.col("before") + F.col("n")))
+    tests, is_small = settle(df, small)
+    if is_small:
+        family = W.partitionBy(*map(col, by))
+        tied = family.orderBy(col(p))
+        raw = col(p) * F.count(col(p)).over(family) / F.count(col(p)).over(tied)
+        lowest = F.min("_raw").over(family.orderBy(col(p).desc()))
+        done = tests.withColumn("_raw", F.when(col(p).isNotNull(), raw)).withColumn(out, F.when(col(p).isNotNull(), F.least(lowest, F.lit(1.0))))
+        return done.drop("_raw").withColumn("significant", F.col(out) < alpha)
+    raw = ranked_counts(tests, by, p).withColumn("_raw", F.col("value") * F.col("total") / (F.col("before") + F.col("n")))
     mins = raw.groupBy(*map(col, by), "slice").agg(F.min("_raw").alias("_least"))
     above = W.partitionBy(*map(col, by)).orderBy(F.col("slice").desc()).rowsBetween(W.unboundedPreceding, -1)
     tops = mins.select(*map(col, by), "slice", F.min("_least").over(above).alias("_above"))
     inside = W.partitionBy(*map(col, by), "slice").orderBy(F.col("value").desc()).rowsBetween(W.unboundedPreceding, 0)
     joined = keyed_join(raw, tops, [*by, "slice"], "inner", null_safe=True)
-    adjusted = joined.select(*map(col, by), F.col("value").alias(p),
-                             F.least(F.min("_raw").over(inside), F.col("_above"), F.lit(1.0)).alias(out))
-    result = keyed_join(df, adjusted, [*by, p], "left", null_safe=True)
-    return result.withColumn("significant", F.col(out) < alpha)
+    adjusted = joined.select(*map(col, by), F.col("value").alias(p), F.least(F.min("_raw").over(inside), F.col("_above"), F.lit(1.0)).alias(out))
+    return keyed_join(tests, adjusted, [*by, p], "left", null_safe=True).withColumn("significant", F.col(out) < alpha)
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

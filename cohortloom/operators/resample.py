@@ -14,7 +14,7 @@ from cohortloom.functions.hashing import REPLICATE_PRIME, key_hash, replicate_nu
 from cohortloom.operators.ranks import hashed_row_number
 
 
-def assign_folds(df: DataFrame, key: str | Column, k: int, seed: int = 42, name: str = "fold") -> DataFrame:
+def assign_folds(df: DataFrame, key: str | Column, k: int, seed: int | str = 42, name: str = "fold") -> DataFrame:
     """k near-equal random folds; no shuffle."""
     return df.withColumn(name, F.pmod(key_hash(key, seed), F.lit(k)).cast("int"))
 

@@ -113,7 +113,7 @@ def search(
     draws = draw_params(space, n_iter, seed)
     base = GBTRegressor(featuresCol="_features", labelCol=target, seed=seed)
     grid = [{base.getParam(k): v for k, v in spark_params(d).items()} for d in draws]
-    folded = assemble(assign_folds(df.where(col(target).isNotNull()), key, cv, seed, "_cv"), features).select("_features", target, "_cv")
+    folded = assemble(assign_folds(df.where(col(target).isNotNull()), key, cv, f"search:{seed}", "_cv"), features).select("_features", target, "_cv")
     tuner = CrossValidator(estimator=base, estimatorParamMaps=grid, numFolds=cv, foldCol="_cv", parallelism=parallelism, seed=seed,
                            evaluator=RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="r2"))
     fitted = tuner.fit(folded)
@@ -132,7 +132,7 @@ def nested_cv(
     ``passive`` features (such as sex) are used but not harmonised.  Returns R squared per fold with its parameters,
     importances per fold, and R squared on ``holdout`` after refitting everything with the best fold's parameters.
     """
-    known = assign_folds(df.where(col(target).isNotNull()), key, outer, seed, "_outer")
+    known = assign_folds(df.where(col(target).isNotNull()), key, outer, f"outer:{seed}", "_outer")
     active = [f for f in features if f not in passive]
     folds, imps = [], []
 

@@ -79,6 +79,18 @@ def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
+def settle(df: DataFrame, limit: int = 100_000) -> tuple[DataFrame, bool]:
+    """Compute a result table once, for uses that read it several times.
+
+    Up to ``limit`` rows it becomes a local relation (and the flag is true); a larger one is written to the checkpoint
+    folder.
+    """
+    table = df.limit(limit + 1).toArrow() if limit > 0 else None
+    if table is not None and table.num_rows <= limit:
+        return df.sparkSession.createDataFrame(table, df.schema), True
+    return cut_lineage(df), False
+
+
 def levels(df: DataFrame, column: str, limit: int = 1000) -> list:
     """Sorted distinct non-missing values of a category column (bounded)."""
     c = F.col(quoted(column))
