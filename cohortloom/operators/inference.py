@@ -13,11 +13,11 @@ from pyspark.sql import Window as W
 
 from cohortloom.functions import tails
 from cohortloom.functions.cleaning import col
-from cohortloom.functions.hashing import replicate_number, with_replicate_hashes
+from cohortloom.functions.hashing import REPLICATE_PRIME, replicate_number, with_replicate_hashes
 from cohortloom.operators.align import pairs_of_groups
 from cohortloom.operators.ranks import avg_rank
 from cohortloom.operators.suffstats import Moments
-from cohortloom.session import local_table
+from cohortloom.session import cut_lineage, local_table
 
 
 @F.pandas_udf(T.DoubleType())
@@ -198,22 +198,24 @@ def permuted_auc(df: DataFrame, key: str, score: str, label: str, replicates: in
     are the positives.  Scores are ranked once and keys are hashed once.  Slices of the numbers below the cut are summed
     with map-side combining; only the one slice that holds the cut is sorted, so a replicate is never sorted as a whole.
     """
-    pool = df.where(col(score).isNotNull() & col(label).isNotNull())
-    ranks = avg_rank(pool, [], score).select("value", "avg_rank")
-    rows = pool.select(col(key).alias("_key"), col(score).alias("value"), col(label).alias("_label")).join(ranks, "value")
-    sizes = pool.agg(F.count_if(col(label) == 1).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    pool = cut_lineage(df.where(col(score).isNotNull() & col(label).isNotNull()).select(
+        col(key).alias("_key"), col(score).alias("value"), col(label).alias("_label")))
+    ranks = avg_rank(pool, [], "value").select("value", "avg_rank")
+    sizes = pool.agg(F.count_if(F.col("_label") == 1).alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = int(sizes["n1"]), int(sizes["n"])
-    hashed = with_replicate_hashes(rows, "_key", seed).select(
-        "_key", "avg_rank", "_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    rows = cut_lineage(with_replicate_hashes(pool.join(ranks, "value"), "_key", seed).select("_key", "avg_rank", "_h1", "_h2"))
+    # Slices hold some dozens of rows at least, so that summing them on the map side pays, and 4096 slices at most.
+    width = -(-REPLICATE_PRIME // 2 ** min(12, max(2, (n // 64).bit_length())))
     number = replicate_number("rep")
-    draws = hashed.withColumn("_order", number).withColumn("slice", F.floor(number / F.lit(2**16)))
+    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
+        "_key", "avg_rank", "rep", number.alias("_order"), F.floor(number / F.lit(width)).alias("slice"))
     slices = draws.groupBy("rep", "slice").agg(F.count(F.lit(1)).alias("m"), F.sum("avg_rank").alias("ranks"))
     # At most 4096 rows per replicate.
     so_far = F.sum("m").over(W.partitionBy("rep").orderBy("slice"))
     placed = slices.withColumn("upto", so_far).withColumn("from", F.col("upto") - F.col("m"))
     whole = placed.where(F.col("upto") <= n1).select("rep", "ranks")
     cut = placed.where((F.col("upto") > n1) & (F.col("from") < n1)).select("rep", "slice", (F.lit(n1) - F.col("from")).alias("need"))
-    inside = draws.join(cut, ["rep", "slice"])
+    inside = draws.join(F.broadcast(cut), ["rep", "slice"])  # one row per replicate
     picked = inside.withColumn("_i", F.row_number().over(W.partitionBy("rep", "slice").orderBy("_order", "_key"))).where(F.col("_i") <= F.col("need"))
     totals = whole.unionByName(picked.select("rep", F.col("avg_rank").alias("ranks"))).groupBy("rep").agg(F.sum("ranks").alias("r"))
     return totals.select("rep", ((F.col("r") - n1 * (n1 + 1) / 2) / (float(n1) * (n - n1))).alias("auc"))

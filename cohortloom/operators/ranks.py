@@ -38,6 +38,18 @@ def _offsets(counts: DataFrame, by: Sequence[str], order: Sequence[str], **extra
     return totals.select(*map(col, by), *order, *extra, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"))
 
 
+def _cuts_below(x: Column, cuts: Column, size: int) -> Column:
+    """How many of the sorted cuts lie below x, as a decision tree of comparisons (stays in generated code)."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(cuts[mid] < x, search(mid + 1, hi)).otherwise(search(lo, mid))
+
+    return search(0, size)
+
+
 def ranked_counts(
     df: DataFrame, by: Sequence[str], value: str, hit: Column | None = None, slices: int = SLICES,
 ) -> DataFrame:
@@ -51,16 +63,15 @@ def ranked_counts(
     known = df.where(col(value).isNotNull())
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = known.groupBy(*map(col, by)).agg(
-        F.array_distinct(F.percentile_approx(col(value), probs, 10 * slices)).alias("_cuts"), F.count(F.lit(1)).alias("total"))
-    joined = _with_small(known, cuts, by)
-    sliced = joined.withColumn("slice", F.size(F.filter("_cuts", lambda c: c < col(value))))
-    grouped = sliced.groupBy(*map(col, by), "slice", col(value).alias("value"), "total")
+        F.percentile_approx(col(value), probs, 10 * slices).alias("_cuts"), F.count(F.lit(1)).alias("total"))
+    grouped = known.groupBy(*map(col, by), col(value).alias("value"))
     if hit is None:
         counts = grouped.agg(F.count(F.lit(1)).alias("n"))
     else:
         # Both parts make up n, so the slice totals and the ranking read the same shuffle.
         counts = grouped.agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("_others"))
         counts = counts.withColumn("n", F.col("hits") + F.col("_others")).drop("_others")
+    counts = _with_small(counts, cuts, by).withColumn("slice", _cuts_below(F.col("value"), F.col("_cuts"), slices - 1)).drop("_cuts")
     placed = keyed_join(counts, _offsets(counts, by, ["slice"]), [*by, "slice"], "inner", null_safe=True)
     inside = W.partitionBy(*map(col, by), "slice").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     before = F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
