@@ -56,14 +56,18 @@ DEMOGRAPHIC = ("Identifiers", "Risk", "Sex", "DoB", "V12prefrontal_taskCandidate
                "V24 demographics,ASD_DX", "Combined_ASD_DX", "NIHToolBox,Date_taken", EDUCATION)
 
 # The named feature sets and the covariates that go with them.
-STRUCTURES_V12_V24 = "|".join(f"{s}_{v}" for v in ("v12", "v24") for s in ("Amygdala", "Putamen", "Caudate", "Thalamus", "GlobusPall", "Hippocampus"))
-TISSUES_V12_V24 = "WM_V12|WM_V24|GM_V12|GM_V24"
 FEATURE_SETS = {
-    "volume_infant": {"pattern": TISSUES_V12_V24, "covariates": ["ICV_V12", "ICV_V24"]},
+    "volume_infant": {"pattern": "WM_V12|WM_V24|GM_V12|GM_V24", "covariates": ["ICV_V12", "ICV_V24"]},
     "volume_VSA": {"pattern": "WM_VSA|GM_VSA", "covariates": ["ICV_vol_VSA"]},
-    "subcort_infant": {"pattern": STRUCTURES_V12_V24, "covariates": ["ICV_V12", "ICV_V24"]},
-    "subcort_infant+volume_infant": {"pattern": f"{STRUCTURES_V12_V24}|{TISSUES_V12_V24}", "covariates": ["ICV_V12", "ICV_V24", "ICV_vol_VSA"],
-                                     "without": ["ICV_V12", "ICV_V24"]},
+    "subcort_infant": {
+        "pattern": "Amygdala_v12|Putamen_v12|Caudate_v12|Thalamus_v12|GlobusPall_v12|Hippocampus_v12|"
+                   "Amygdala_v24|Putamen_v24|Caudate_v24|Thalamus_v24|GlobusPall_v24|Hippocampus_v24",
+        "covariates": ["ICV_V12", "ICV_V24"]},
+    "subcort_infant+volume_infant": {
+        "pattern": "Amygdala_v12|Putamen_v12|Caudate_v12|Thalamus_v12|GlobusPall_v12|Hippocampus_v12|"
+                   "Amygdala_v24|Putamen_v24|Caudate_v24|Thalamus_v24|GlobusPall_v24|Hippocampus_v24|"
+                   "WM_V12|WM_V24|GM_V12|GM_V24",
+        "covariates": ["ICV_V12", "ICV_V24", "ICV_vol_VSA"], "without": ["ICV_V12", "ICV_V24"]},
     "subcort_VSA": {"pattern": r"(?:Amygdala|Caudate|Putamen|Thalamus|Hippocampus|Globus_Pall).*VSA", "covariates": ["ICV_vol_VSA"]},
     "subcort_infant + subcort_VSA": {"pattern": r"(Amygdala|Putamen|Caudate|Thalamus|GlobusPall|Globus_Pall|Hippocampus).*(v12|v24|VSA)",
                                      "covariates": ["ICV_V12", "ICV_V24", "ICV_vol_VSA"]},
@@ -149,8 +153,10 @@ def add_race(subjects: DataFrame, reported: Sequence[DataFrame], registered: Dat
 
 
 # Severity columns in order of preference.
-SEVERITY_EARLY = tuple(f"{v} ADOS_Derived,severity_score_lookup" for v in ("V37Plus", "V36", "V24"))
-SEVERITY_SCHOOL = tuple(f"VSA ados2_module{m},severity_score_lookup" for m in (3, 2, 1))
+SEVERITY_EARLY = ("V37Plus ADOS_Derived,severity_score_lookup", "V36 ADOS_Derived,severity_score_lookup",
+                  "V24 ADOS_Derived,severity_score_lookup")
+SEVERITY_SCHOOL = ("VSA ados2_module3,severity_score_lookup", "VSA ados2_module2,severity_score_lookup",
+                   "VSA ados2_module1,severity_score_lookup")
 IQ_SCORES = ("V12 mullen,composite_standard_score", "V24 mullen,composite_standard_score")
 IQ_SCHOOL, IQ_AGE = "VSA DAS_SA,GCA_STD_SCORE", "VSA DAS_SA,Candidate_Age"
 
