@@ -153,7 +153,7 @@ def nested_cv(
     r2_holdout = None
     if holdout is not None:
         best = max(folds, key=lambda r: -math.inf if r[1] is None else r[1])[3]
-        train, test = prepare(known, holdout.where(col(target).isNotNull()))
+        train, test = prepare(known.drop("_outer"), holdout.where(col(target).isNotNull()))
         held = gbt_predict(gbt_fit(train, features, target, best, seed), test, features)
         r2_holdout = regression_metrics(held, target, "prediction").first()["r2"]
     spark = df.sparkSession
