@@ -23,6 +23,7 @@ from cohortloom.operators.suffstats import Moments, vector_moments
 from cohortloom.session import local_table
 
 CONVERGENCE = 1e-4
+MAX_STEPS = 100_000
 
 
 @dataclass
@@ -84,15 +85,16 @@ def _shrink(gamma: np.ndarray, delta: np.ndarray, n: float) -> tuple[np.ndarray,
     shape, rate = (2 * v + m**2) / v, (m * v + m**3) / v
     total, squares = n * gamma, (n - 1) * delta + n * gamma**2
     g, d = gamma.copy(), delta.copy()
-    change = np.inf
-    while change > CONVERGENCE:
+    for _ in range(MAX_STEPS):
         g_next = (prior_var * n * gamma + d * prior_mean) / (prior_var * n + d)
         d_next = (0.5 * (squares - 2 * g_next * total + n * g_next**2) + rate) / (n / 2 + shape - 1)
         # Relative to the signed old value, as in the published method.
         step_g = np.abs(g_next - g) / np.where(g == 0, np.inf, g)
         change = max(step_g.max(), (np.abs(d_next - d) / d).max())
         g, d = g_next, d_next
-    return g, d
+        if not change > CONVERGENCE:
+            return g, d
+    raise ArithmeticError("site effects did not converge")
 
 
 def _array(values: np.ndarray) -> Column:

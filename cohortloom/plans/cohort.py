@@ -233,7 +233,7 @@ def combine_features(subjects: DataFrame, features: Sequence[DataFrame], ratios:
     typed = [f.withColumn("CandID", K.as_number(col("CandID").cast("string")).cast("long")) for f in distinct]
     merged = align.align_sources(typed, "CandID", on_duplicates="join")
     measured = rows.drop_rows_all_missing(merged, [c for c in merged.columns if c not in NOT_FEATURES])
-    removed = rows.removed_rows(merged, measured)
+    removed = align.removed_rows(merged, measured)
     out = rows.drop_rows_all_missing(measured, [c for c in BEHAVIOURS if c in measured.columns])
     for table, visit in ratios:
         out = K.ratio_to_visit_volume(out, visit, table.columns)
