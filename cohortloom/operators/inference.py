@@ -142,7 +142,7 @@ def tukey_hsd(df: DataFrame, group: str, value: str, by: Sequence[str] = (), alp
         (F.sum(F.col("n") * F.col("var")) / (F.sum("n") - F.count(F.lit(1)))).alias("mse"))
     keyed = [*by, "_one"]
     pairs = pairs_of_groups(stats.withColumn("_one", F.lit(1)), group, keyed, ["n", "mean"])
-    joined = pairs.join(F.broadcast(pooled.withColumn("_one", F.lit(1))), keyed)  # one row per measure
+    joined = pairs.join(pooled.withColumn("_one", F.lit(1)), keyed)
     diff = F.col("mean_2") - F.col("mean_1")
     se = F.sqrt(F.col("mse") / 2 * (1 / F.col("n_1") + 1 / F.col("n_2")))
     out = joined.select(*map(col, by), "group1", "group2", diff.alias("diff"), (F.abs(diff) / se).alias("q"), "k", "df", se.alias("_se"))

@@ -19,7 +19,7 @@ from cohortloom.functions.hashing import order_hash
 from cohortloom.operators.align import keyed_join
 from cohortloom.session import bounded_broadcast, settle
 
-SLICES = 64
+SLICES, MOST_SLICES = 64, 512
 # Sketch accuracy for quantiles, and how far around a target the bracket reaches (several times the sketch error).
 ACCURACY = 2000
 MARGIN = 4 / ACCURACY
@@ -38,6 +38,11 @@ def _offsets(counts: DataFrame, by: Sequence[str], order: Sequence[str], **extra
     return totals.select(*map(col, by), *order, *extra, F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start"))
 
 
+def slice_count(df: DataFrame) -> int:
+    """Slices per group: as many as the session has shuffle partitions, within bounds."""
+    return min(MOST_SLICES, max(SLICES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _cuts_below(x: Column, cuts: Column, size: int) -> Column:
     """How many of the sorted cuts lie below x, as a decision tree of comparisons (stays in generated code)."""
 
@@ -51,7 +56,7 @@ def _cuts_below(x: Column, cuts: Column, size: int) -> Column:
 
 
 def ranked_counts(
-    df: DataFrame, by: Sequence[str], value: str, hit: Column | None = None, slices: int = SLICES,
+    df: DataFrame, by: Sequence[str], value: str, hit: Column | None = None, slices: int | None = None,
 ) -> DataFrame:
     """One row per distinct ``(by, value)``: ``n`` copies, ``before`` smaller rows, ``total`` rows of the group.
 
@@ -59,6 +64,7 @@ def ranked_counts(
     are left out.
     """
     by = list(by)
+    slices = slices or slice_count(df)
     hit = F.coalesce(hit, F.lit(False)) if hit is not None else None
     known = df.where(col(value).isNotNull())
     probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
@@ -136,7 +142,7 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
 
 
 def hashed_row_number(df: DataFrame, by: Sequence[str], key: str | Column, seed: int = 42, name: str = "position",
-                      digits: int = 2) -> DataFrame:
+                      digits: int = 3) -> DataFrame:
     """Random but reproducible row numbers 1..n within each ``by`` group, ordered by the md5 of the key.
 
     Hash texts are uniform, so their first ``digits`` hex digits cut every group into equal slices (16**digits); only the

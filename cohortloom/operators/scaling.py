@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col, rewrite
 from cohortloom.operators.ranks import exact_median
-from cohortloom.session import small_rows
+from cohortloom.session import bounded_broadcast, small_rows
 
 
 def fit_scale(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -72,7 +72,7 @@ def impute_site_median(train: DataFrame, test: DataFrame, site: str, columns: Se
     ``<column>_was_missing`` remembers the filled cells.  A site unknown to ``train`` stays missing (find such sites
     with ``unseen_sites``).
     """
-    medians = site_medians(train, site, columns)
+    medians = bounded_broadcast(site_medians(train, site, columns))
     joined = test.join(medians, site, "left")
     changes = {c: F.coalesce(col(c).cast("double"), col(f"_median_{c}")) for c in columns}
     if masks:

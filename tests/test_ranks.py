@@ -45,11 +45,10 @@ def test_mid_ranks(spark):
     rng = np.random.default_rng(1)
     v = np.round(rng.normal(size=3000), 2).tolist()
     g = ["a" if i % 3 else "b" for i in range(3000)]
-    for r in [ranks.avg_rank(frame(spark, v, g), ["g"], "v")]:
-        got = {(x["g"], x["value"]): x["avg_rank"] for x in r.collect()}
-    for name in "ab":
-        for x, expected in brute_rank([x for x, y in zip(v, g) if y == name]).items():
-            assert got[(name, x)] == expected
+    expected = {(name, x): r for name in "ab" for x, r in brute_rank([x for x, y in zip(v, g) if y == name]).items()}
+    for slices in (2, 64, 512):
+        ranked = ranks.ranked_counts(frame(spark, v, g), ["g"], "v", slices=slices)
+        assert {(x["g"], x["value"]): x["before"] + (x["n"] + 1) / 2 for x in ranked.collect()} == expected
 
 
 def bh(p):
