@@ -98,9 +98,9 @@ def test_no_python_in_cleaning_plans(spark, three):
 
 
 def test_readers_and_sinks(spark, tmp_path):
-    for name, value in [("IBIS_v3.13_Caudate_x.csv", "1"), ("IBIS_v3.13_ICV_x.csv", "2"), ("other.csv", "3"), ("LobeParcel_a.csv", "4")]:
+    for name, value in [("VOLUMES_v1_Caudate_x.csv", "1"), ("VOLUMES_v1_ICV_x.csv", "2"), ("other.csv", "3"), ("LobeParcel_a.csv", "4")]:
         (tmp_path / name).write_text(f"id,\"a,b\",skip_me\n001,{value},z\n")
-    files = readers.read_many(spark, str(tmp_path), r"IBIS_v3\.13_([^_]+)", "LobeParcel")
+    files = readers.read_many(spark, str(tmp_path), r"VOLUMES_v1_([^_]+)", "LobeParcel")
     assert sorted(files) == ["Caudate", "ICV", "other.csv"]
     assert rowset(files["ICV"]) == [("001", "2", "z")]
     assert readers.read_raw(spark, str(tmp_path / "other.csv"), drop_containing=["skip"]).columns == ["id", "a,b"]
