@@ -14,8 +14,8 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.cleaning import col
-from cohortloom.operators.describe import joint_z_profile
+from cohortloom.functions.cleaning import col, reverse_score
+from cohortloom.operators.describe import joint_z_profile, mean_ci95
 from cohortloom.operators.inference import mann_whitney, pearson_test, rank_test
 from cohortloom.operators.latent import Components, principal_components
 from cohortloom.operators.normative import normative_z
@@ -111,8 +111,6 @@ def cluster_vs_reference(clustered: DataFrame, reference: DataFrame, measures: S
     both = stack([clustered.select(*map(col, columns)), known.select(*map(col, columns))])
     if z:
         return joint_z_profile(both, "cluster", measures, reverse)
-    from cohortloom.functions.cleaning import reverse_score
-    from cohortloom.operators.describe import mean_ci95
     flipped = reverse_score(both, reverse) if reverse else both
     return mean_ci95(flipped.unpivot(["cluster"], list(measures), "measure", "value"), ["cluster", "measure"], "value")
 

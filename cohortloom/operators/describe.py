@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from cohortloom.functions.cleaning import col, rewrite
+from cohortloom.functions.cleaning import col, reverse_score
 from cohortloom.operators.ranks import exact_quantiles
-from cohortloom.operators.rows import stack
-from cohortloom.session import small_rows
+from cohortloom.operators.scaling import standardize
 
 
 def numeric_columns(df: DataFrame, without: Sequence[str] = ()) -> list[str]:
@@ -211,9 +210,6 @@ def cohort_table(
 
 def joint_z_profile(groups: DataFrame, cluster: str, measures: Sequence[str], reverse: Sequence[str] = ()) -> DataFrame:
     """Mean and 95 % half-width of jointly standardised measures per cluster, some measures reversed first."""
-    from cohortloom.functions.cleaning import reverse_score
-    from cohortloom.operators.scaling import standardize
-
     flipped = reverse_score(groups, reverse) if reverse else groups
     scaled = standardize(flipped, list(measures))
     long = scaled.unpivot([cluster], list(measures), "measure", "value")

@@ -9,7 +9,7 @@ from cohortloom.operators import inference as I
 from cohortloom.operators import resample as S
 from cohortloom.operators.linear import oof_linear
 from cohortloom.operators.suffstats import vector_moments
-from cohortloom.plans.registry import FEATURES, LINE_KEY, key_hash_sql, order_hash_sql, query, replicate_number_sql
+from cohortloom.plans.registry import LINE_KEY, key_hash_sql, order_hash_sql, query, replicate_number_sql
 from cohortloom.plans.summary_queries import _RANK_SQL, long_features, rounded
 from cohortloom.session import local_table
 

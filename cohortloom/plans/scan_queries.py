@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.cleaning import null_sentinels
 from cohortloom.operators import columns as C
 from cohortloom.operators.rows import rows_with_missing
-from cohortloom.plans.registry import FEATURES, RAW_BALANCE, RAW_SEGMENT, TOKENS_SQL, query
+from cohortloom.plans.registry import RAW_BALANCE, RAW_SEGMENT, TOKENS_SQL, query
 from cohortloom.sources.readers import block_metrics, read_keyed, split_blocks
 from cohortloom.sources.sinks import membership_rows, missing_ids
 from cohortloom.operators.align import membership_flags
