@@ -1,9 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import mixing, url_filter
+from cohortloom.llm import mixing, packing, quality_classifier, quality_rules, url_filter
 
 QUERIES = {
+    "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_packing": packing.op9_packing,
 }
 SQL = {"op7_mixing": mixing.SQL}

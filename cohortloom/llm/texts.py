@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Key = tuple[pa.Scalar, ...]  # of a group in applyInArrow
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
