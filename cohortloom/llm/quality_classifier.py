@@ -116,11 +116,20 @@ def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
     word, shape, counts = word_rows(texts)
     out = np.zeros((len(texts), 2 * DIMS + 1), np.float32)
     row = np.repeat(np.arange(len(texts)), counts)
-    for k, rows in enumerate((word, shape)):
-        for i in range(0, len(rows), GATHERED):  # a bounded matrix of gathered vectors, also for very long texts
-            part = row[i:i + GATHERED]
-            starts = np.flatnonzero(np.diff(part, prepend=-1))
-            out[part[starts], k * DIMS:(k + 1) * DIMS] += np.add.reduceat(vectors[rows[i:i + GATHERED]], starts, axis=0)
+    for i in range(0, len(word), GATHERED):  # a bounded matrix of gathered vectors, also for very long texts
+        part = row[i:i + GATHERED]
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        out[part[starts], :DIMS] += np.add.reduceat(vectors[word[i:i + GATHERED]], starts, axis=0)
+    used = np.flatnonzero(np.bincount(shape, minlength=ROWS))  # shapes are few: count them per text
+    place = np.zeros(ROWS, np.int64)
+    for i in range(0, len(used), 512):
+        some = used[i:i + 512]
+        place[:] = -1
+        place[some] = np.arange(len(some))
+        at = place[shape]
+        has = at >= 0
+        often = np.bincount(row[has] * len(some) + at[has], minlength=len(texts) * len(some)).reshape(len(texts), len(some))
+        out[:, DIMS:2 * DIMS] += often @ vectors[some]
     out[:, :2 * DIMS] /= np.maximum(counts, 1)[:, None]
     out[:, -1] = np.log1p(counts) / 10
     return out
