@@ -1,12 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import mixing, packing, quality_classifier, quality_rules, url_filter
+from cohortloom.llm import licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_simhash": simhash.op6_simhash,
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
 }
-SQL = {"op7_mixing": mixing.SQL}
+SQL = {
+    "op4_license_scan": licenses.sql(),
+    "op7_mixing": mixing.SQL,
+}
