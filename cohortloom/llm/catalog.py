@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from cohortloom.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
+    "op10_chat_format": chat.op10_chat_format,
 }
 SQL = {
     "op4_license_scan": licenses.sql(),
