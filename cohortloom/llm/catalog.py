@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, simhash, url_filter
+from cohortloom.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, simhash, topk, url_filter
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
 }
 SQL = {
+    "op1_topk": topk.SQL,
     "op4_license_scan": licenses.sql(),
     "op7_mixing": mixing.SQL,
 }
