@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import chat, licenses, mixing, packing, quality_classifier, quality_rules, simhash, topk, url_filter
+from cohortloom.llm import chat, licenses, mixing, ngram, packing, quality_classifier, quality_rules, simhash, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
+    "op2_lm_score": ngram.op2_lm_score,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
