@@ -54,6 +54,7 @@ def kmeans_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2
         tried.append((k, score))
         if best is None or score > best[0]:
             best = (score, model)
+    x.unpersist()
     order = np.argsort([tuple(c)[0] for c in best[1].clusterCenters()], kind="stable")
     labelled = relabel(best[1].transform(x).withColumnRenamed("_c", "cluster"), "cluster", list(order)).drop("_x")
     return labelled, local_table(df.sparkSession, tried, "k int, silhouette double")
@@ -80,6 +81,7 @@ def gmm_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3
         tried.append((k, score if criterion == "bic" else -score))
         if best is None or score < best[0]:
             best = (score, model)
+    x.unpersist()
     model = best[1]
     first = [float(g.mean[0]) for g in model.gaussians]
     order = list(np.argsort(first, kind="stable"))

@@ -56,7 +56,12 @@ def _useful(m: Moments, covariates: Sequence[str], p: int) -> list[int]:
 
 
 def fit_sites(m: Moments, covariates: Sequence[str] = (), eb: bool = True) -> SiteModel:
+    """Sites of a single row have no scale: they are left out of the fit, and ``apply_sites`` gives them NULL.  A feature that
+    does not vary (within the sites, after the covariates) is not moved and has no part in the priors."""
     p = len(m.columns) - len(covariates)
+    m = m.only(lambda i: m.n[i] >= 2)
+    if not m.keys:
+        raise ValueError("no site has two complete rows")
     use = _useful(m, covariates, p)
     c = [p + i for i in use]
     parts = [m.pick([i]) for i in range(len(m.keys))]
@@ -69,12 +74,17 @@ def fit_sites(m: Moments, covariates: Sequence[str] = (), eb: bool = True) -> Si
     level = xbar - cbar @ beta
     grand = (n / n.sum()) @ level
     rss = np.array([np.diag(s.scatter)[:p] - 2 * (beta * b).sum(0) + (beta * (a @ beta)).sum(0) for s, a, b in zip(parts, scc, scx)])
-    sd = np.sqrt(rss.sum(0) / n.sum())
-    gamma = (level - grand) / sd
-    delta = rss / (n - 1)[:, None] / sd**2
-    if eb:
-        shrunk = [_shrink(g, d, k) for g, d, k in zip(gamma, delta, n)]
-        gamma, delta = np.array([s[0] for s in shrunk]), np.array([s[1] for s in shrunk])
+    square = sum(np.diag(s.scatter)[:p] + s.size * s.mean[:p] ** 2 for s in parts)
+    varies = rss.sum(0) > 1e-12 * square
+    sd = np.sqrt(np.where(varies, rss.sum(0), n.sum()) / n.sum())
+    gamma = np.where(varies, (level - grand) / sd, 0.0)
+    delta = np.where(varies, rss / (n - 1)[:, None] / sd**2, 1.0)
+    if eb and varies.sum() > 1:
+        shrunk = [_shrink(g[varies], d[varies], k) for g, d, k in zip(gamma, delta, n)]
+        gamma[:, varies], delta[:, varies] = np.array([s[0] for s in shrunk]), np.array([s[1] for s in shrunk])
+    delta = np.where(delta > 0, delta, 1.0)  # constant inside one site only: moved, not scaled
+    if not (np.isfinite(gamma).all() and np.isfinite(delta).all()):
+        raise ArithmeticError("site effects are not finite")
     return SiteModel([k[0] for k in m.keys], grand, beta, sd, gamma, delta, [covariates[i] for i in use])
 
 
@@ -82,6 +92,8 @@ def _shrink(gamma: np.ndarray, delta: np.ndarray, n: float) -> tuple[np.ndarray,
     """Posterior location and scale of one site; priors come from the spread over features."""
     prior_mean, prior_var = gamma.mean(), gamma.var()
     m, v = delta.mean(), delta.var(ddof=1)
+    if v == 0 or prior_var == 0:
+        return gamma, delta  # all features agree, so there is no spread to shrink by
     shape, rate = (2 * v + m**2) / v, (m * v + m**3) / v
     total, squares = n * gamma, (n - 1) * delta + n * gamma**2
     g, d = gamma.copy(), delta.copy()
@@ -168,6 +180,7 @@ def fit_covariance(m: Moments, covariates: Sequence[str] = (), explained: float
     Components are taken until the running sum of their ratios (four decimals) first exceeds ``explained``, or as many
     as ``components`` says.
     """
+    m = m.only(lambda i: m.n[i] >= 2)
     model = fit_sites(m, covariates, eb)
     y = _adjusted_moments(m, model, covariates)
     total = y.total()

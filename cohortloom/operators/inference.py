@@ -156,21 +156,22 @@ def tukey_hsd(df: DataFrame, group: str, value: str, by: Sequence[str] = (), alp
 def chi2_independence(df: DataFrame, a: str, b: str, p_values: bool = True) -> DataFrame:
     """Chi-square of a contingency table, with the continuity correction when it is 2x2.  Empty cells count.
 
-    The data are reduced to one count per observed cell; the full grid of categories is then rebuilt from the margins.
+    The data are reduced to one count per observed cell.  The sum over all cells is n * sum(o^2 / (r c)) - n, to which empty cells
+    add nothing, so the grid of categories is never built.  In a 2x2 table all four gaps |o - r c / n| are equal, so one observed
+    cell and the margins give the corrected value.
     """
     counts = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b")).agg(
-        F.count(F.lit(1)).alias("o"))
-    grand = W.partitionBy("_one")
-    rows = counts.groupBy("a").agg(F.sum("o").alias("r")).withColumn("_one", F.lit(1))
-    cols = counts.groupBy("b").agg(F.sum("o").alias("c")).withColumn("_one", F.lit(1))
-    rows = rows.withColumn("ra", F.count(F.lit(1)).over(grand)).withColumn("n", F.sum("r").over(grand))
-    cols = cols.withColumn("cb", F.count(F.lit(1)).over(grand))
-    cells = rows.join(cols, "_one").join(counts, ["a", "b"], "left")
-    expected = F.col("r") * F.col("c") / F.col("n")
-    gap = F.abs(F.coalesce(F.col("o"), F.lit(0)) - expected)
-    fixed = F.when((F.col("ra") == 2) & (F.col("cb") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    sums = cells.groupBy("n", "ra", "cb").agg(F.sum(fixed * fixed / expected).alias("chi2"))
-    out = sums.select("chi2", ((F.col("ra") - 1) * (F.col("cb") - 1)).alias("dof"), "n")
+        F.count(F.lit(1)).cast("double").alias("o"))
+    rows, cols = (counts.groupBy(k).agg(F.sum("o").alias(m)) for k, m in (("a", "r"), ("b", "c")))
+    none = F.lit(None).cast("double")
+    cells = counts.join(rows, "a").join(cols, "b").select("o", (F.col("r") * F.col("c")).alias("rc"), none.alias("r"), none.alias("c"))
+    parts = cells.unionByName(rows.select("r"), allowMissingColumns=True).unionByName(cols.select("c"), allowMissingColumns=True)
+    sums = parts.agg(F.sum("r").cast("long").alias("n"), F.count("r").alias("ra"), F.count("c").alias("cb"), F.sum(F.col("o") * F.col("o") / F.col("rc")).alias("share"),
+                     F.max(F.struct("o", "rc")).alias("cell"), (F.sum(1 / F.col("r")) * F.sum(1 / F.col("c"))).alias("inverse")).where("n > 0")
+    gap = F.abs(F.col("cell.o") - F.col("cell.rc") / F.col("n"))
+    fixed = gap - F.least(F.lit(0.5), gap)
+    chi2 = F.when((F.col("ra") == 2) & (F.col("cb") == 2), fixed * fixed * F.col("n") * F.col("inverse")).otherwise(F.greatest(F.col("n") * F.col("share") - F.col("n"), F.lit(0.0)))
+    out = sums.select(chi2.alias("chi2"), ((F.col("ra") - 1) * (F.col("cb") - 1)).alias("dof"), "n")
     return out.withColumn("p", p_chi2("chi2", "dof")) if p_values else out
 
 

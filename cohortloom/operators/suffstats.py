@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.functions.cleaning import col
-from cohortloom.session import TooLarge, small_rows
+from cohortloom.session import TooLarge, local_table, small_rows
 
 NATIVE_WIDTH = 12
 MAX_NUMBERS = 50_000_000
@@ -43,6 +44,11 @@ class Moments:
         return Moments(self.columns, self.shift, [()], self.n[rows].sum(keepdims=True),
                        self.s[rows].sum(0, keepdims=True), self.g[rows].sum(0, keepdims=True))
 
+    def only(self, test) -> Moments:
+        """Keys whose position passes the test, each still on its own."""
+        rows = [i for i in range(len(self.keys)) if test(i)]
+        return Moments(self.columns, self.shift, [self.keys[i] for i in rows], self.n[rows], self.s[rows], self.g[rows])
+
     def total(self) -> Moments:
         return self.pick(range(len(self.keys)))
 
@@ -134,10 +140,10 @@ def vector_moments(
     shift = np.mean(np.array(head), axis=0)
     p = len(shift)
     upper = np.triu_indices(p)
+    # Keys travel as one JSON text and get their own types back at the end, NULL included.
+    key = F.to_json(F.struct(*map(col, by)), {"ignoreNullFields": "false"}) if by else F.lit("")
     slim = df.where(col(vector).isNotNull()).select(
-        *[col(b).cast("string").alias(f"_k{i}") for i, b in enumerate(by)],
-        (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), col(vector).cast("array<double>").alias("_v"))
-    key_names = [f"_k{i}" for i in range(len(by))]
+        key.alias("_key"), (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), col(vector).cast("array<double>").alias("_v"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list] = {}
@@ -146,41 +152,70 @@ def vector_moments(
                 continue
             x = np.stack(batch["_v"].to_numpy()) - shift
             w = batch["_w"].to_numpy()
-            if key_names:
-                codes, seen = pd.factorize(pd.MultiIndex.from_frame(batch[key_names]))
-            else:
-                codes, seen = np.zeros(len(batch), dtype=int), [()]
+            codes, seen = pd.factorize(batch["_key"])
             for c, key in enumerate(seen):
                 rows = codes == c
                 xw = x[rows] * w[rows, None]
                 part = (w[rows].sum(), xw.sum(0), x[rows].T @ xw)
-                have = sums.get(tuple(key))
-                sums[tuple(key)] = part if have is None else tuple(a + b for a, b in zip(have, part))
+                have = sums.get(key)
+                sums[key] = part if have is None else tuple(a + b for a, b in zip(have, part))
         for key, (n, s, g) in sums.items():
             flat = np.concatenate([[n], s, g[upper]])
-            out = pd.DataFrame({"pos": np.arange(len(flat), dtype="int32"), "val": flat})
-            for i, name in enumerate(key_names):
-                out.insert(i, name, key[i])
-            yield out
+            yield pd.DataFrame({"_key": key, "pos": np.arange(len(flat), dtype="int32"), "val": flat})
 
-    schema = ", ".join([*(f"{k} string" for k in key_names), "pos int", "val double"])
-    long = slim.mapInPandas(partial, schema).groupBy(*key_names, "pos").agg(F.sum("val").alias("val"))
+    long = slim.mapInPandas(partial, "_key string, pos int, val double").groupBy("_key", "pos").agg(F.sum("val").alias("val"))
     size = 1 + p + len(upper[0])
     _guard(1, p)
     rows = small_rows(long, min(max_keys * size, MAX_NUMBERS), "statistics per key")
-    table: dict[tuple, np.ndarray] = {}
+    table: dict[str, np.ndarray] = {}
     for r in rows:
-        table.setdefault(tuple(r[k] for k in key_names), np.zeros(size))[r["pos"]] = r["val"]
-    keys = sorted(table)
-    flat = np.array([table[k] for k in keys])
+        table.setdefault(r["_key"], np.zeros(size))[r["pos"]] = r["val"]
+    table = {k: v for k, v in table.items() if v[0]}  # keys of zero weight have no moments
+    typed = dict.fromkeys(table, ())
+    if by and table:
+        kind = T.StructType([T.StructField(b, df.schema[b].dataType) for b in by])
+        texts = local_table(df.sparkSession, [(k,) for k in table], "_key string")
+        typed = {r["_key"]: tuple(r["_k"]) for r in texts.select("_key", F.from_json("_key", kind).alias("_k")).collect()}
+    keys = sorted(table, key=lambda k: tuple(map(str, typed[k])))
+    flat = np.array([table[k] for k in keys]).reshape(len(keys), size)
     g = np.zeros((len(keys), p, p))
     g[:, upper[0], upper[1]] = flat[:, 1 + p:]
     g[:, upper[1], upper[0]] = flat[:, 1 + p:]
-    kinds = [df.schema[b].dataType.typeName() for b in by]
-    typed = [tuple(int(v) if t in ("integer", "long", "short", "byte") and v is not None else v for v, t in zip(k, kinds)) for k in keys]
+    typed = [typed[k] for k in keys]
     return Moments(list(names) if names else [f"d{i}" for i in range(p)], shift, typed, flat[:, 0], flat[:, 1:1 + p], g)
 
 
+def pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """Correlation matrix in which every pair uses the rows that have both values; one pass, p x p partial sums per task.
+
+    Pairs with fewer than two rows or without variation are NaN.
+    """
+    columns = list(columns)
+    p = len(columns)
+    _guard(4, p)
+    means = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    shift = np.array([float(v) if v is not None else 0.0 for v in means])
+    packed = df.select(F.array(*[col(c).cast("double") for c in columns]).alias("_v"))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((4, p, p))
+        for batch in batches:
+            if len(batch):
+                x = np.array([[np.nan if v is None else v for v in row] for row in batch["_v"]], float) - shift
+                known = np.isfinite(x).astype(float)
+                x = np.where(known > 0, x, 0.0)
+                sums += [known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x]
+        yield pd.DataFrame({"pos": np.arange(sums.size, dtype="int32"), "val": sums.ravel()})
+
+    total = packed.mapInPandas(partial, "pos int, val double").groupBy("pos").agg(F.sum("val").alias("val"))
+    flat = np.zeros(4 * p * p)
+    for r in small_rows(total, 4 * p * p, "sums per pair"):
+        flat[r["pos"]] = r["val"]
+    n, s, q, xy = flat.reshape(4, p, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (n * xy - s * s.T) / np.sqrt((n * q - s * s) * (n * q.T - s.T * s.T))
+
+
 def with_target(df: DataFrame, vector: str, target: Column | str, out: str = "_v") -> DataFrame:
     """Append the target as the last position of the vector."""
     y = col(target).cast("double")

@@ -33,14 +33,14 @@ def kmeans_search(t):
     e = t("embeddings")
     pcs = principal_components(vector_moments(e, "embedding"), 4)
     s = e.select("vec_id", "label", pcs.score("embedding").alias("s")).select("vec_id", "label", *[F.col("s")[i].alias(f"PC{i + 1}") for i in range(4)])
-    labelled, scores = C.kmeans_search(s, ["PC1", "PC2", "PC3", "PC4"], [2, 3, 4])
+    labelled, scores = C.kmeans_search(s, ["PC1", "PC2", "PC3", "PC4"], [2, 3, 4, 5, 6])
     return labelled.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("PC1"), 4).alias("mean_pc1"))
 
 
 @query("gmm_search")
 def gmm_search(t):
     """Mixtures over customer scores, number of parts by BIC; size and sharpness of the clusters."""
-    labelled, _ = C.gmm_search(customer_scores(t), SCORES, [2, 3])
+    labelled, _ = C.gmm_search(customer_scores(t), SCORES, [2, 3, 4, 5])
     return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(s), 4).alias(s) for s in SCORES],
                                            F.round(F.avg(F.array_max("probabilities")), 4).alias("sharpness"))
 

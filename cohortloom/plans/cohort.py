@@ -1,6 +1,6 @@
 """End-to-end cohort flows composed from the operators: integrate sources, combine features, choose predictors.
 
-Each flow is one lazy plan; nothing is computed until the result is written.
+Each flow builds one plan.  Only steps that join on repeated keys look at their sources first (one grouped job per source).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from cohortloom.functions.cleaning import col
 from cohortloom.operators import align, columns, reshape, rows
 from cohortloom.operators.resample import holdout_by_group
 from cohortloom.operators.scaling import collinear_columns
-from cohortloom.operators.suffstats import moments
+from cohortloom.operators.suffstats import pairwise_correlation
 
 KEY = "Identifiers"
 
@@ -26,7 +26,6 @@ ANOTB_KEEP = ("Identifiers", "V12prefrontal_taskCandidate_Age", "V24prefrontal_t
 ANOTB_VALIDITY = {"AB_12_Percent": "V12_AB_validitycode", "AB_24_Percent": "V24_AB_validitycode"}
 BRIEF1_DROP = ("TestDate", "TestDescription", "Grade", "Relationship", "TestFormTorP", "Howwellknownteacheronly",
                "Durationofrelationshipteacheronly", "MissingItems")
-BRIEF1_EXCLUDED_ID = "UNC0154"
 BRIEF2_AGES = ("VSA BRIEF2_Parent,Candidate_Age", "VSA-CVD BRIEF2_Parent,Candidate_Age")
 BRIEF2_TOTALS = ("VSA BRIEF2_Parent,T_score", "VSA-CVD BRIEF2_Parent,T_score", "VSA BRIEF2_Parent,raw_score", "VSA-CVD BRIEF2_Parent,raw_score")
 BRIEF_OVERLAY = {"VSA BRIEF2_Parent,GEC_T_score": "GECTScore", "VSA BRIEF2_Parent,working_memory_T_score": "WMTScore",
@@ -94,9 +93,11 @@ def infant_diagnosis(diagnosis: DataFrame) -> DataFrame:
     return K.coalesce_columns(labelled, {"ASD_Ever_DSMIV_infant": [c for c in INFANT_DX_ORDER if c in labelled.columns]})
 
 
-def brief_scores(brief1: DataFrame, brief2: DataFrame) -> DataFrame:
-    """Second edition scores, completed from the first edition, both collection modes merged."""
-    old = columns.drop(brief1, BRIEF1_DROP).where(rows.not_equal(KEY, BRIEF1_EXCLUDED_ID))
+def brief_scores(brief1: DataFrame, brief2: DataFrame, exclude_ids: Sequence[str] = ()) -> DataFrame:
+    """Second edition scores, completed from the first edition (without ``exclude_ids``), both collection modes merged."""
+    old = columns.drop(brief1, BRIEF1_DROP)
+    if exclude_ids:
+        old = old.where(~F.coalesce(col(KEY).isin(*exclude_ids), F.lit(False)))
     wanted = [c for c in brief2.columns if c in (KEY, *BRIEF2_AGES) or (("raw_score" in c or "T_score" in c) and c not in BRIEF2_TOTALS)]
     filled = align.overlay(columns.keep(brief2, wanted), old, KEY, BRIEF_OVERLAY)
     return K.merge_twin_columns(filled.drop("filled"))
@@ -108,17 +109,18 @@ def task_scores(anotb: DataFrame) -> DataFrame:
     return columns.drop(valid, ANOTB_VALIDITY.values())
 
 
-def integrate_behaviour(sources: Mapping[str, DataFrame]) -> DataFrame:
+def integrate_behaviour(sources: Mapping[str, DataFrame], exclude_ids: Sequence[str] = ()) -> DataFrame:
     """Nine raw sources to one typed row per subject.
 
     ``sources``: ``dob_risk_sex``, ``diagnosis``, ``dx``, ``demographics``, ``anotb``, ``toolbox``, ``brief1``, ``brief2``,
-    ``education``; all columns text.  Copies of a subject that disagree stop the flow.
+    ``education``; all columns text.  Copies of a subject that disagree stop the flow.  ``exclude_ids`` are left out of
+    the first edition of the questionnaire.
     """
     dx = K.merge_twin_columns(columns.drop(sources["dx"], DX_DROP))
     dx2 = columns.keep_containing(sources["demographics"], DX2_PARTS, [KEY, *DX2_FINAL])
     toolbox = K.merge_twin_columns(columns.keep_containing(sources["toolbox"], TOOLBOX_PARTS, [KEY]))
     parts = [subject_basics(sources["dob_risk_sex"]), infant_diagnosis(sources["diagnosis"]), dx, dx2, task_scores(sources["anotb"]), toolbox,
-             brief_scores(sources["brief1"], sources["brief2"]), columns.keep(sources["education"], [KEY, EDUCATION])]
+             brief_scores(sources["brief1"], sources["brief2"], exclude_ids), columns.keep(sources["education"], [KEY, EDUCATION])]
     merged = K.null_sentinels(align.align_sources(parts, KEY, on_duplicates="join"))
     projects = [c for c in merged.columns if "Project" in c]
     included = rows.drop_rows_any_contains(merged, projects, EXCLUDED_POPULATIONS)
@@ -189,8 +191,9 @@ def school_age_features(raw: DataFrame, unwanted: Sequence[str], measure: str =
     return columns.rename_affix(numbers, suffix=f"_{measure}_VSA" if measure else "_VSA", except_names=["CandID"])
 
 
-def infant_structures(files: Mapping[str, DataFrame], visits: Sequence[str] = ("V12", "V24")) -> DataFrame:
-    """One file per structure, several visits each, to one wide row per subject (volume totals left out)."""
+def infant_structures(files: Mapping[str, DataFrame], visits: Sequence[str] | None = None) -> DataFrame:
+    """One file per structure, several visits each (all that occur, or those in ``visits``), to one wide row per subject; volume
+    totals are left out."""
     wide = []
     for name, df in files.items():
         if name == "ICV":
@@ -199,7 +202,7 @@ def infant_structures(files: Mapping[str, DataFrame], visits: Sequence[str] = ("
         typed = K.coerce_numeric(df, ["DCCID", "Visit"], [*features])
         wide.append(reshape.widen_visits(typed, "DCCID", "Visit", features, visits))
     merged = align.align_sources(wide, "DCCID")
-    return columns.rename(columns.drop(merged, ["totTiss_v12", "totTiss_v24"]), {"DCCID": "CandID"})
+    return columns.rename(columns.drop(merged, [c for c in merged.columns if c.startswith("totTiss_v")]), {"DCCID": "CandID"})
 
 
 # Tracts that are not used, and columns that describe the scan.
@@ -255,8 +258,8 @@ def predictors_and_target(
     features = columns.matching(sited, FEATURE_SETS[feature_set]["pattern"], FEATURE_SETS[feature_set].get("without", ()))
     groups = [c for c in ("Group_HR+", "Group_HR-", "Group_LR-") if include_group and c in sited.columns]
     if max_correlation is not None:
-        # Missing cells are left to the pairs they concern: the matrix comes from complete rows of the features.
-        gone = set(collinear_columns(moments(sited.where(col(target).isNotNull()), features).correlation(), features, max_correlation))
+        # Missing cells are left to the pairs they concern.
+        gone = set(collinear_columns(pairwise_correlation(sited.where(col(target).isNotNull()), features), features, max_correlation))
         features = [f for f in features if f not in gone]
     names = [KEY, "Site", "Sex", "Group", *groups, *features, target]
     if diagnosed_in_training:

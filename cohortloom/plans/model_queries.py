@@ -12,7 +12,7 @@ from cohortloom.operators import pls_da as PD
 from cohortloom.operators import scaling as Z
 from cohortloom.operators.normative import deviation_summary, normative_z
 from cohortloom.operators.resample import assign_folds, regression_metrics
-from cohortloom.operators.suffstats import moments, vector_moments, with_target
+from cohortloom.operators.suffstats import moments, pairwise_correlation, vector_moments, with_target
 from cohortloom.plans.inference_queries import FOLD_SQL, bootstrap_sql, folded_lines
 from cohortloom.plans.registry import FEATURES, LINE_KEY, SITE, query
 from cohortloom.plans.summary_queries import rounded
@@ -112,6 +112,33 @@ def prune_collinear(t):
     return local_table(t.spark, [(c,) for c in m.columns if c not in gone], "feature string")
 
 
+_GAPS = {"q": "CASE WHEN l_orderkey % 3 <> 0 THEN l_quantity END", "p": "CASE WHEN l_orderkey % 3 <> 1 THEN l_extendedprice END",
+         "d": "CASE WHEN l_orderkey % 3 <> 2 THEN l_discount END", "w": "CASE WHEN l_partkey % 5 <> 0 THEN 2 * l_quantity + l_tax END"}
+
+
+@query("prune_collinear_gaps", "WITH g AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _GAPS.items()) + " FROM lineitem) "
+       + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM g" for i, a in enumerate(_GAPS) for b in list(_GAPS)[i + 1:]))
+def prune_collinear_gaps(t):
+    """Every row misses a feature: each pair uses the rows that have both."""
+    names = list(_GAPS)
+    r = pairwise_correlation(t("lineitem").selectExpr(*[f"{e} AS {c}" for c, e in _GAPS.items()]), names)
+    return local_table(t.spark, [(a, names[j], round(float(r[i, j]), 6)) for i, a in enumerate(names) for j in range(i + 1, len(names))], "a string, b string, r double")
+
+
+_WIDE = [f"(l_quantity * {k + 1} + l_linenumber * {k * k}) AS c{k}" for k in range(13)]
+_WIDE_KEY = "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_orderkey % 2 = 0 END AS k"
+
+
+@query("moments_wide_keys", f"""WITH w AS (SELECT {_WIDE_KEY}, {", ".join(_WIDE)} FROM lineitem)
+SELECT k, CAST(count(*) AS DOUBLE) AS n, round(avg(c0), 4) AS m0, round(avg(c12), 4) AS m12, round(covar_pop(c0, c12), 4) AS cov FROM w GROUP BY k""")
+def moments_wide_keys(t):
+    """More columns than plain SQL sums take, by a key that is boolean and sometimes NULL."""
+    m = moments(t("lineitem").selectExpr(_WIDE_KEY, *_WIDE), [f"c{k}" for k in range(13)], ["k"])
+    parts = [(key[0], m.pick([i])) for i, key in enumerate(m.keys)]
+    return local_table(t.spark, [(k, p.size, round(float(p.mean[0]), 4), round(float(p.mean[12]), 4), round(float(p.scatter[0, 12] / p.size), 4)) for k, p in parts],
+                       "k boolean, n double, m0 double, m12 double, cov double")
+
+
 # ---------------------------------------------------------------- harmonisation
 
 _NOEB = f"""{EMB_LONG}, b AS (SELECT label, dim, count(*) AS n, avg(x) AS m, var_pop(x) AS v, var_samp(x) AS vs FROM x GROUP BY label, dim),
@@ -126,6 +153,17 @@ def combat_noeb(t):
     return dims(H.apply_sites(e, model, "label", "embedding"), 5, "vec_id")
 
 
+@query("combat_small_site", f"""WITH {_NOEB.replace("FROM embeddings,", "FROM (SELECT * FROM embeddings WHERE vec_id <> 7),")}
+SELECT vec_id, dim, round((x - b.m) / (sqrt(vs) / sd) + grand, 5) AS x FROM x JOIN b USING (label, dim) JOIN g USING (dim)
+UNION ALL SELECT vec_id, NULL, NULL FROM embeddings WHERE vec_id = 7""")
+def combat_small_site(t):
+    """A site of one row has no scale: its row is NULL, and the others are as without it."""
+    e = t("embeddings").withColumn("label", F.when(F.col("vec_id") == 7, -1).otherwise(F.col("label")))
+    model = H.fit_sites(H.site_moments(e, "label", "embedding"), eb=False)
+    adjusted = H.apply_sites(e, model, "label", "embedding")
+    return adjusted.select("vec_id", F.posexplode_outer("embedding").alias("dim", "x")).withColumn("x", F.round("x", 5))
+
+
 @query("combat_eb")
 def combat_eb(t):
     """The same with shrinkage of the site effects and one covariate."""
@@ -193,7 +231,7 @@ def ridge_tune(t):
 
 @query("ridge_bootstrap", f"""WITH {_RIDGE_SQL.split(' tr AS')[0]}
  b AS (SELECT rep, fold, sum(w)::DOUBLE AS n, sum(w * l_quantity) AS s1, sum(w * (l_discount)) AS s2, sum(w * l_extendedprice) AS sy, sum(w * l_quantity * l_quantity) AS g11, sum(w * l_discount * l_discount) AS g22,
-  sum(w * l_quantity * l_discount) AS g12, sum(w * l_quantity * l_extendedprice) AS g1y, sum(w * l_discount * l_extendedprice) AS g2y FROM {bootstrap_sql(20, 'fold, l_quantity, l_discount, l_extendedprice', 'f')} GROUP BY rep, fold),
+  sum(w * l_quantity * l_discount) AS g12, sum(w * l_quantity * l_extendedprice) AS g1y, sum(w * l_discount * l_extendedprice) AS g2y FROM {bootstrap_sql(100, 'fold, l_quantity, l_discount, l_extendedprice', 'f')} GROUP BY rep, fold),
  s AS (SELECT rep, k, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(g11) AS g11, sum(g22) AS g22, sum(g12) AS g12, sum(g1y) AS g1y, sum(g2y) AS g2y FROM b JOIN ks ON k <> fold GROUP BY rep, k),
  tr AS (SELECT rep, k, s1 / n AS m1, s2 / n AS m2, sy / n AS my, g11 - s1 * s1 / n + 10 AS v1, g22 - s2 * s2 / n + 10 AS v2, g12 - s1 * s2 / n AS v12, g1y - s1 * sy / n AS c1, g2y - s2 * sy / n AS c2 FROM s),
  w AS (SELECT *, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS w1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS w2 FROM tr),
@@ -201,7 +239,7 @@ def ridge_tune(t):
 SELECT rep::INTEGER AS rep, round(1 - sse / (SELECT var_pop(l_extendedprice) * count(*) FROM f), 8) AS r2 FROM e""")
 def ridge_bootstrap(t):
     """R squared over bootstrap replicates x folds; the copies are weights, never rows."""
-    r2, _ = L.ridge_bootstrap(folded_lines(t), F.expr(LINE_KEY), ["l_quantity", "l_discount"], "l_extendedprice", "fold", 10.0, 20)
+    r2, _ = L.ridge_bootstrap(folded_lines(t), F.expr(LINE_KEY), ["l_quantity", "l_discount"], "l_extendedprice", "fold", 10.0, 100)
     return rounded(r2, 8, "r2")
 
 
@@ -319,7 +357,7 @@ def pls_da(t):
     """Lowest against highest quarter of order value by line features: cross-validated AUC, permutation p."""
     o = t("orders").select("o_orderkey", "o_totalprice")
     f = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*[F.avg(c).alias(c) for c in FEATURES])
-    result, _ = PD.pls_da(f.join(o, "o_orderkey"), "o_orderkey", FEATURES, "o_totalprice", permutations=100)
+    result, _ = PD.pls_da(f.join(o, "o_orderkey"), "o_orderkey", FEATURES, "o_totalprice", permutations=1000)
     return result
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
 from cohortloom.operators import align, cluster, describe
 from cohortloom.operators.normative import normative_z
 from cohortloom.operators.rows import complete_cases
-from cohortloom.session import cut_lineage
+from cohortloom.session import cut_lineage, levels
 from cohortloom.sources.sinks import membership_rows
 
 
@@ -27,13 +30,14 @@ def deviation_correspondence(
     df: DataFrame, key: str, group: str, reference: Sequence[str], cases: Sequence[str], scores: Sequence[str], features: Sequence[str],
     covariates: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """Cluster the cases on their scores, score their features against the reference group, test features between the two
-    largest-contrast clusters (lowest and highest label) and against the first score component."""
+    """Cluster the cases on their scores, score their features against the reference group, test features between all pairs of
+    clusters (``cluster_a``, ``cluster_b``) and against the first score component."""
     known = complete_cases(df.where(col(group).isin(*cases)), scores)
     labelled, _ = cluster.gmm_search(known, scores, ks, seed)
     scored, _ = cluster.add_components(labelled.select(key, "cluster", *scores), scores, 1)
     z = normative_z(df, group, reference, cases, features, covariates, [key])
     joined = cut_lineage(align.keyed_join(z, scored.select(key, "cluster", "PC1"), key, "inner"))
-    labels = sorted(r["cluster"] for r in joined.select("cluster").distinct().collect())
-    tests = cluster.feature_cluster_tests(joined, "cluster", labels[0], labels[-1], [f"{f}_z" for f in features], "PC1")
-    return joined, tests
+    names = [f"{f}_z" for f in features]
+    pairs = [cluster.feature_cluster_tests(joined, "cluster", a, b, names, "PC1").select(F.lit(a).alias("cluster_a"), F.lit(b).alias("cluster_b"), "*")
+             for a, b in combinations(levels(joined, "cluster", max(ks)), 2)]
+    return joined, reduce(DataFrame.unionByName, pairs)

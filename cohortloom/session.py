@@ -42,7 +42,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if sc.getCheckpointDir() is not None:
         return
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
 
@@ -67,26 +67,37 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
-def bounded_broadcast(df: DataFrame, limit: int = 100_000) -> DataFrame:
+MAX_BYTES = 32 << 20
+
+
+def fetched(df: DataFrame, limit: int, max_bytes: int) -> pa.Table | None:
+    """The whole table, or None if it has more than ``limit`` rows or ``max_bytes`` bytes.
+
+    Rows come partition by partition and stop at the bound, so a large table is never held.
+    """
+    rows = min(limit, max(1, max_bytes // max(1, df._jdf.schema().defaultSize()))) if limit > 0 else 0
+    table = df.limit(rows + 1).toArrow()
+    return table if table.num_rows <= rows and table.nbytes <= max_bytes else None
+
+
+def bounded_broadcast(df: DataFrame, limit: int = 100_000, max_bytes: int = MAX_BYTES) -> DataFrame:
     """A small computed table, marked for broadcast once its size has been checked.
 
-    The table is computed here and now.  Up to ``limit`` rows it becomes a broadcast side; beyond that it is returned
-    unmarked, and Spark joins it by shuffle.
+    The table is computed here and now.  Up to ``limit`` rows and ``max_bytes`` bytes it becomes a broadcast side; beyond
+    that it is returned unmarked, and Spark joins it by shuffle.
     """
-    table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
+    table = fetched(df, limit, max_bytes)
+    return df if table is None else F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
 
-def settle(df: DataFrame, limit: int = 100_000) -> tuple[DataFrame, bool]:
+def settle(df: DataFrame, limit: int = 100_000, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, bool]:
     """Compute a result table once, for uses that read it several times.
 
-    Up to ``limit`` rows it becomes a local relation (and the flag is true); a larger one is written to the checkpoint
+    A table within the bounds becomes a local relation (and the flag is true); a larger one is written to the checkpoint
     folder.
     """
-    table = df.limit(limit + 1).toArrow() if limit > 0 else None
-    if table is not None and table.num_rows <= limit:
+    table = fetched(df, limit, max_bytes) if limit > 0 else None
+    if table is not None:
         return df.sparkSession.createDataFrame(table, df.schema), True
     return cut_lineage(df), False
 

@@ -37,7 +37,7 @@ def sources(spark):
 
 
 def test_integrate(spark, sources):
-    out = cohort.integrate_behaviour(sources)
+    out = cohort.integrate_behaviour(sources, exclude_ids=["UNC0154"])
     got = {r["Identifiers"]: r.asDict() for r in out.collect()}
     assert set(got) == {"S1", "S2"}  # S3 and S9 have no scores, S4 belongs to an excluded population
     one, two = got["S1"], got["S2"]

@@ -145,3 +145,27 @@ def test_logit(spark):
         beta = beta + np.linalg.solve(h, d.T @ (y - p))
     got = {r["term"]: r for r in cluster.logit_inference(df, "y", ["x"]).collect()}
     assert got["x"]["coef"] == pytest.approx(beta[0], rel=1e-4) and got["x"]["se"] == pytest.approx(np.sqrt(np.linalg.inv(h)[0, 0]), rel=1e-3)
+
+
+def test_fisher_in_constant_memory():
+    from math import comb
+    for a, b, c, d in [(3, 7, 9, 2), (0, 5, 5, 0), (12, 0, 3, 8), (40, 60, 55, 45), (1, 0, 0, 0), (0, 0, 0, 0)]:
+        r1, c1, n = a + b, a + c, a + b + c + d
+        p = {x: comb(r1, x) * comb(n - r1, c1 - x) / comb(n, c1) for x in range(max(0, c1 - (n - r1)), min(r1, c1) + 1)}
+        assert tails.fisher_two_sided(a, b, c, d) == pytest.approx(sum(v for v in p.values() if v <= p[a] * (1 + 1e-7)))
+    big = tails.fisher_two_sided(10**9, 10**9 + 60_000, 10**9, 10**9)
+    assert big == pytest.approx(tails.chi2_sf(60_000**2 / (4 * 10**9), 1), rel=1e-3)
+    assert tails.fisher_two_sided(10**9, 0, 0, 10**9) == 0.0
+
+
+def test_studentized_range_is_continuous_in_df():
+    p = [tails.studentized_range_sf(3.5, 3, df) for df in (4999, 5000, 5001, 10**5, float("inf"))]
+    assert abs(p[1] - p[2]) < 1e-7 and p[0] > p[3] > p[4] - 1e-9 and abs(p[3] - p[4]) < 1e-5
+
+
+def test_chi2_with_empty_cells(spark):
+    rows = [("a", "x")] * 7 + [("b", "y")] * 5
+    got = inference.chi2_independence(spark.createDataFrame(rows, "a string, b string"), "a", "b").first()
+    # 2x2 with two empty cells: all gaps are 35/12, less one half
+    gap, margins = 35 / 12 - 0.5, [(7 * 7), (7 * 5), (5 * 7), (5 * 5)]
+    assert got["chi2"] == pytest.approx(sum(gap**2 / (m / 12) for m in margins)) and got["dof"] == 1

@@ -430,3 +430,45 @@ def test_bounds(spark):
     assert bounded_broadcast(df, 10) is df
     assert settle(df, 100)[1] is True and settle(df, 10)[1] is False and settle(df, 10)[0].count() == 50
     assert cut_lineage(df).count() == 50
+
+
+def test_sites_with_one_row_and_constant_features(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], [float(v) for v in (*rng.normal(3 * (i % 2), 1 + i % 2, 3), 5.0)]) for i in range(60)]
+    full = spark.createDataFrame(rows, "i int, site string, v array<double>")
+    odd = spark.createDataFrame(rows + [(99, "z", [1.0, 2.0, 3.0, 5.0])], "i int, site string, v array<double>")
+    for eb in (False, True):
+        one, two = (H.apply_sites(odd, H.fit_sites(H.site_moments(d, "site", "v"), eb=eb), "site", "v") for d in (full, odd))
+        a, b = ({r["i"]: r["v"] for r in d.collect()} for d in (one, two))
+        assert a[99] is None and b[99] is None
+        assert all(np.allclose(a[i], b[i]) and abs(a[i][3] - 5.0) < 1e-9 for i in range(60))
+    both = H.apply_covariance(odd, H.fit_covariance(H.site_moments(odd, "site", "v")), "site", "v").collect()
+    assert all((r["v"] is None) == (r["i"] == 99) for r in both)
+    assert all(np.isfinite(r["v"]).all() for r in both if r["i"] != 99)
+
+
+@pytest.mark.parametrize("width", [12, 13])
+def test_moments_by_any_key(spark, width):
+    """Boolean and NULL keys mean the same on both sides of the width at which Arrow takes over; weightless keys are no keys."""
+    rows = [(None if i % 3 == 0 else i % 3 == 1, i % 2, 0.0 if i % 6 == 4 else 1.0, *[float(i * k % 7) for k in range(width)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "b boolean, g int, w double, " + ", ".join(f"c{k} double" for k in range(width)))
+    m = suffstats.moments(df, [f"c{k}" for k in range(width)], ["b", "g"], "w")
+    x = np.array([r[3:] for r in rows])
+    want = {k: [i for i, r in enumerate(rows) if (r[0], r[1]) == k and r[2]] for k in {(r[0], r[1]) for r in rows}}
+    want = {k: v for k, v in want.items() if v}
+    assert set(m.keys) == set(want)
+    for k, at in want.items():
+        assert m.of(k).size == len(at) and np.allclose(m.of(k).mean, x[at].mean(axis=0))
+
+
+def test_pairwise_correlation(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 14))
+    x[:, 1] += 2 * x[:, 0]
+    x[np.arange(300), np.arange(300) % 14] = np.nan  # no complete row
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"c{k} double" for k in range(14)))
+    r = suffstats.pairwise_correlation(df, [f"c{k}" for k in range(14)])
+    for i in range(14):
+        for j in range(14):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            assert r[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
