@@ -8,6 +8,7 @@ windows run inside slices of distinct values only.  The sketch decides where sli
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +21,7 @@ from cohortloom.operators.align import keyed_join
 from cohortloom.session import bounded_broadcast, settle
 
 SLICES, MOST_SLICES = 64, 512
+SLICE_ROWS = 100_000
 # Sketch accuracy for quantiles, and how far around a target the bracket reaches (several times the sketch error).
 ACCURACY = 2000
 MARGIN = 4 / ACCURACY
@@ -142,13 +144,16 @@ def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "medi
 
 
 def hashed_row_number(df: DataFrame, by: Sequence[str], key: str | Column, seed: int = 42, name: str = "position",
-                      digits: int = 3) -> DataFrame:
+                      digits: int | None = None) -> DataFrame:
     """Random but reproducible row numbers 1..n within each ``by`` group, ordered by the md5 of the key.
 
     Hash texts are uniform, so their first ``digits`` hex digits cut every group into equal slices (16**digits); only the
-    slice counts meet in one place.  ``group_rows`` is the size of the group.
+    slice counts meet in one place.  By default there are as many digits as keep a slice at some 100,000 rows, at least
+    three; the numbers do not depend on it.  ``group_rows`` is the size of the group.
     """
     by = list(by)
+    if digits is None:
+        digits = max(3, math.ceil(math.log(max(df.count(), 1) / SLICE_ROWS, 16)))
     marked = df.withColumn("_order", order_hash(key, seed)).withColumn("_slice", F.substring("_order", 1, digits))
     counts = marked.groupBy(*map(col, by), "_slice").agg(F.count(F.lit(1)).alias("n"))
     sizes = F.sum("_size").over(W.partitionBy(*map(col, by)))

@@ -106,7 +106,7 @@ def moments(
     if len(columns) > NATIVE_WIDTH:
         packed = x.select(*map(col, by), *([col(weight)] if weight else []), F.array(*map(col, columns)).alias("_v"))
         return vector_moments(packed, "_v", by, weight, max_keys, columns)
-    first = x.limit(1000).agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    first = x.agg(*[F.avg(col(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     fixed = shift or {}
     shift = np.array([float(fixed.get(c, v if v is not None else 0.0)) for c, v in zip(columns, first)])
     w = col(weight).cast("double") if weight else F.lit(1.0)

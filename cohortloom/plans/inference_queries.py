@@ -8,7 +8,7 @@ from cohortloom.operators import cluster
 from cohortloom.operators import inference as I
 from cohortloom.operators import resample as S
 from cohortloom.operators.linear import oof_linear
-from cohortloom.operators.suffstats import vector_moments
+from cohortloom.operators.suffstats import moments, vector_moments
 from cohortloom.plans.registry import LINE_KEY, key_hash_sql, order_hash_sql, query, replicate_number_sql
 from cohortloom.plans.summary_queries import _RANK_SQL, long_features, rounded
 from cohortloom.session import local_table
@@ -209,3 +209,21 @@ def holdout_by_group(t):
     src = t("lineitem").selectExpr("l_orderkey", "l_partkey", "l_returnflag", "CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity END AS l_quantity")
     train, test = S.holdout_by_group(src, "l_quantity", "l_returnflag", ["A", "N"], ["R"])
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).drop("l_returnflag")
+
+
+@query("manova_two_features", """WITH g AS (SELECT count(*) * var_pop(l_quantity) AS a, count(*) * var_pop(l_discount) AS d, count(*) * covar_pop(l_quantity, l_discount) AS b FROM lineitem GROUP BY l_returnflag),
+ e AS (SELECT sum(a) AS a, sum(b) AS b, sum(d) AS d FROM g), t AS (SELECT count(*) * var_pop(l_quantity) AS ta, count(*) * var_pop(l_discount) AS td, count(*) * covar_pop(l_quantity, l_discount) AS tb FROM lineitem)
+SELECT 'wilks' AS statistic, round((a * d - b * b) / (ta * td - tb * tb), 8) AS value FROM e, t UNION ALL SELECT 'pillai', round(2 - (a * td - 2 * b * tb + d * ta) / (ta * td - tb * tb), 8) FROM e, t""")
+def manova_two_features(t):
+    """Wilks and Pillai where they have a closed form."""
+    out = I.manova(moments(t("lineitem"), ["l_quantity", "l_discount"], ["l_returnflag"]), t.spark)
+    return out.where("statistic IN ('wilks', 'pillai')").select("statistic", F.round("value", 8).alias("value"))
+
+
+@query("logit_binary_term", """WITH c AS (SELECT count(*) FILTER (o_totalprice > 150000 AND o_orderstatus = 'F')::DOUBLE AS a, count(*) FILTER (o_totalprice > 150000 AND o_orderstatus <> 'F')::DOUBLE AS b,
+ count(*) FILTER (o_totalprice <= 150000 AND o_orderstatus = 'F')::DOUBLE AS c, count(*) FILTER (o_totalprice <= 150000 AND o_orderstatus <> 'F')::DOUBLE AS d FROM orders)
+SELECT 'large' AS term, round(ln(a * d / (b * c)), 5) AS coef, round(sqrt(1 / a + 1 / b + 1 / c + 1 / d), 5) AS se FROM c UNION ALL SELECT 'intercept', round(ln(c / d), 5), round(sqrt(1 / c + 1 / d), 5) FROM c""")
+def logit_binary_term(t):
+    """One binary term: the log odds ratio and its standard error."""
+    o = t("orders").selectExpr("CAST(o_orderstatus = 'F' AS INT) AS done", "CAST(o_totalprice > 150000 AS INT) AS large")
+    return cluster.logit_inference(o, "done", ["large"]).select("term", F.round("coef", 5).alias("coef"), F.round("se", 5).alias("se"))

@@ -395,3 +395,29 @@ def covariance_axis_scores(t):
     e = t("embeddings")
     axis, centre = P.covariance_axis(vector_moments(with_target(e, "embedding", "label"), "_v"))
     return e.select("vec_id", F.round(P.project("embedding", centre, axis[:, None])[0], 5).alias("score"))
+
+
+# ---------------------------------------------------------------- closed forms in two dimensions
+
+_TWO = "SELECT l_quantity AS x, l_extendedprice / 1000 AS y, l_linestatus, l_returnflag FROM lineitem"
+
+
+@query("pca_two_features", f"""WITH t AS ({_TWO}), c AS (SELECT var_pop(x) AS a, var_pop(y) AS d, covar_pop(x, y) AS b FROM t),
+ l AS (SELECT *, (a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) AS big FROM c), v AS (SELECT *, b / sqrt(b * b + power(big - a, 2)) AS u, (big - a) / sqrt(b * b + power(big - a, 2)) AS w FROM l),
+ f AS (SELECT *, sign(CASE WHEN abs(u) >= abs(w) THEN u ELSE w END) AS s1, sign(CASE WHEN abs(w) >= abs(u) THEN -w ELSE u END) AS s2 FROM v)
+SELECT 'x' AS feature, 1 AS component, round(s1 * u, 6) AS loading, round(big / (a + d), 6) AS explained FROM f UNION ALL SELECT 'y', 1, round(s1 * w, 6), round(big / (a + d), 6) FROM f
+UNION ALL SELECT 'x', 2, round(s2 * -w, 6), round(1 - big / (a + d), 6) FROM f UNION ALL SELECT 'y', 2, round(s2 * u, 6), round(1 - big / (a + d), 6) FROM f""")
+def pca_two_features(t):
+    """Loadings and explained shares where they have a closed form."""
+    m = moments(t("lineitem").selectExpr("l_quantity AS x", "l_extendedprice / 1000 AS y"), ["x", "y"])
+    return rounded(P.principal_components(m).table(t.spark), 6, "loading", "explained")
+
+
+@query("lda_two_features", f"""WITH t AS ({_TWO}), g AS (SELECT l_linestatus = 'O' AS cls, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS a, var_pop(y) * count(*) AS d, covar_pop(x, y) * count(*) AS b FROM t GROUP BY 1),
+ w AS (SELECT sum(a) / (sum(n) - 2) AS a, sum(b) / (sum(n) - 2) AS b, sum(d) / (sum(n) - 2) AS d, sum(CASE WHEN cls THEN mx ELSE -mx END) AS p, sum(CASE WHEN cls THEN my ELSE -my END) AS q FROM g)
+SELECT 'x' AS feature, round((d * p - b * q) / (a * d - b * b), 6) AS weight FROM w UNION ALL SELECT 'y', round((a * q - b * p) / (a * d - b * b), 6) FROM w""")
+def lda_two_features(t):
+    """Discriminant coefficients of two classes and two features."""
+    rows = t("lineitem").selectExpr("l_quantity AS x", "l_extendedprice / 1000 AS y", "CAST(l_linestatus = 'O' AS INT) AS cls")
+    m = moments(rows, ["x", "y"], ["cls"])
+    return rounded(P.weights_table(t.spark, m.columns, P.lda_axis(m)[0]).drop("place"), 6, "weight")
