@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.texts import SLICE_BYTES, Key, fold_is_zero, labelled_sample, mix64, slices, split_words
+from cohortloom.llm.texts import Key, fold_is_zero, labelled_sample, mix64, slices, split_words
 
 ROWS = 1 << 15
 DIMS = 64
@@ -29,7 +29,7 @@ CHUNK = 1024
 TRAIN_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
-CACHE = 300_000
+CACHE = 200_000
 GATHERED = 1 << 16
 
 
@@ -76,7 +76,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
         total = np.zeros(ROWS * DIMS)
-        for _, texts in slices(batches, size=2 * SLICE_BYTES):
+        for _, texts in slices(batches):
             word, shape, counts = word_rows(texts)
             row = np.repeat(np.arange(len(texts)), counts)
             for step in range(1, WINDOW + 1):

@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +53,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
     """Cut batches into runs of whole rows with about ``size`` bytes of text, so that a worker's memory does not depend on
     the rows per batch; a longer text is a run of its own."""
     for batch in batches:
-        texts = byte_texts(batch.column(text))
+        column = batch.column(text)
         begin = total = 0
-        for i, t in enumerate(texts):
-            if total and total + len(t) > size:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
+            if total and total + n > size:
+                yield batch.slice(begin, i - begin), byte_texts(column.slice(begin, i - begin))
                 begin, total = i, 0
-            total += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            total += n
+        if begin < batch.num_rows:
+            yield batch.slice(begin), byte_texts(column.slice(begin))
 
 
 def split_words(texts: list[bytes], lower: bool = False) -> tuple[list[list[bytes]], np.ndarray]:
