@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -13,8 +14,13 @@ STRANGE = ["I'll don't it's <|endoftext|> a<|startoftext|>b", "É é ÀÇ ſ Α
            "word's, (word) [word]; WORD%%% wörd&&& naïve... éa", "  x y"]
 
 
+@cache
+def tokenizer():
+    return tokenizers.Tokenizer.from_file(PATH)
+
+
 def whole(text):
-    return tokenizers.Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_words_give_the_ids_of_the_whole_text():
