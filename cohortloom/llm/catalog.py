@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import chat, licenses, mixing, ngram, packing, quality_classifier, quality_rules, simhash, topk, url_filter
+from cohortloom.llm import chat, infill, licenses, mixing, ngram, packing, permutation, quality_classifier, quality_rules, simhash, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -13,9 +13,12 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_packing": packing.op9_packing,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_permutation_index": permutation.op11_permutation_index,
+    "op12_infill": infill.op12_infill,
 }
 SQL = {
     "op1_topk": topk.SQL,
     "op4_license_scan": licenses.sql(),
     "op7_mixing": mixing.SQL,
+    "op12_infill": infill.SQL,
 }
