@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from cohortloom.llm import chat, infill, licenses, mixing, ngram, packing, permutation, quality_classifier, quality_rules, simhash, topk, url_filter
+from cohortloom.llm import chat, infill, licenses, mixing, ngram, packing, permutation, quality_classifier, quality_rules, simhash, topk, url_filter, whitening
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
     "op11_permutation_index": permutation.op11_permutation_index,
     "op12_infill": infill.op12_infill,
+    "op13_whitening": whitening.op13_whitening,
 }
 SQL = {
     "op1_topk": topk.SQL,
