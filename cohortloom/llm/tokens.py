@@ -2,25 +2,50 @@
 
 The tokenizer drops white space and never joins words over it, so a text's ids are the ids of its words in a row
 (``tests/llm`` compares both ways). Words of plain Latin letters with trailing signs are split once more, because their two parts
-are separate units of the tokenizer: this makes far fewer distinct units.
+are separate units of the tokenizer: this makes far fewer distinct units. Ids of units and words lie in flat arrays.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 from cohortloom.llm.texts import Numbering, segment_sums, split_words
 
-WORDS_KEPT = 500_000
-PLAIN = re.compile(r"([A-Za-zÀ-ſ]+)([!-/:-@\[-`{-~]*)")
+WORDS_KEPT = 400_000
+BYTES_KEPT = 16 << 20  # of words, and of units
+LINE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\\[-`{-~]*)|(.*))$", re.MULTILINE)
 JOINED = 20_000
 
 
+class Lists:
+    """Lists of ids by number, in one array."""
+
+    def __init__(self):
+        self.begin, self.length, self.flat = (np.zeros(0, t) for t in (np.int64, np.int32, np.int32))
+
+    def add(self, length: np.ndarray, flat: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length, dtype=np.int64) - length])
+        self.length = np.concatenate([self.length, length.astype(np.int32)])
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+
+    def take(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids in a row) of the lists with these numbers."""
+        length = self.length[number]
+        ends = np.cumsum(length, dtype=np.int64)
+        place = np.repeat(self.begin[number] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+        return length, self.flat[place]
+
+
+def newest(known: dict, many: int) -> list:
+    """The keys that came last, in their order."""
+    return list(islice(reversed(known), many))[::-1]
+
+
 class WordTokens:
-    """Growing store of ids by word; emptied when it holds ``WORDS_KEPT`` words."""
+    """Growing store of ids by word. When it is full, words seen once since the last time leave; units all leave."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -30,64 +55,80 @@ class WordTokens:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers, self.units = Numbering(), {}
-        self.begin, self.length, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.numbers, self.words, self.seen, self.held = Numbering(), Lists(), np.zeros(0, np.int64), 0
+        self.clear_units()
+
+    def clear_units(self) -> None:
+        """Unit 0 is no unit at all."""
+        self.units, self.parts, self.held_units = Numbering({"": 0}), Lists(), 0
+        self.parts.add(np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+    def forget(self) -> None:
+        keep = np.flatnonzero(self.seen > 1)
+        if len(keep) > WORDS_KEPT // 2:
+            keep = keep[:0]
+        words = list(self.numbers)
+        kept = Lists()
+        kept.add(*self.words.take(keep))
+        self.numbers = Numbering((words[i], k) for k, i in enumerate(keep.tolist()))
+        self.words, self.seen, self.held = kept, np.zeros(len(keep), np.int64), sum(map(len, self.numbers))
+        if self.held > BYTES_KEPT // 2:
+            self.numbers, self.words, self.seen, self.held = Numbering(), Lists(), np.zeros(0, np.int64), 0
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def learn_units(self, units: list[str]) -> None:
-        """Units are runs of letters, or of signs: each gives one piece with a single end mark, so many can go in one text."""
+        """Most units are runs of letters, or of signs: each gives one piece with a single end mark, so many can go in one text."""
         for i in range(0, len(units), JOINED):
             part = units[i:i + JOINED]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and (not len(cut) or cut[-1] == len(ids)):
-                flat, at = ids.tolist(), 0
-                for unit, end in zip(part, cut.tolist()):
-                    self.units[unit] = flat[at:end]
-                    at = end
+                self.parts.add(np.diff(cut, prepend=0), ids)
             else:
-                for unit in part:
-                    self.units[unit] = self.encode(unit)
+                own = [self.encode(unit) for unit in part]
+                self.parts.add(np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int64))
 
     def learn(self, words: list[bytes]) -> None:
-        plain, new = [], {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            m = PLAIN.fullmatch(text)
-            if m and m[1].isalpha():
-                key = (m[1].lower(), m[2])
-                plain.append(key)
-                for unit in key:
-                    if unit and unit not in self.units:
-                        new[unit] = None
-            else:
-                plain.append(text)
-        self.learn_units(list(new))
-        units = self.units
-        ids = [units[k[0]] + units[k[1]] if k.__class__ is tuple and k[1] else units[k[0]] if k.__class__ is tuple else self.encode(k) for k in plain]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int64, int(length.sum()))])
+        """Words have no line feeds, so one pass of an expression splits all of them into letters and signs, or finds them odd."""
+        stems, signs, odd = zip(*LINE.findall(b"\n".join(words).decode("utf-8", "replace")))
+        stems = "\n".join(stems).lower().split("\n")
+        known = len(self.units)
+        # An odd word is a unit of its own; as such it may be cut into several pieces.
+        rare = [i for i, o in enumerate(odd) if o]
+        own = {i: self.encode(odd[i]) for i in rare}
+        first = np.fromiter(map(self.units.__getitem__, stems), np.int64, len(words))
+        second = np.fromiter(map(self.units.__getitem__, signs), np.int64, len(words))
+        new = newest(self.units, len(self.units) - known)
+        self.held_units += sum(map(len, new))
+        self.learn_units(new)
+        length, flat = self.parts.take(np.stack([first, second], axis=1).ravel())
+        length = length.reshape(-1, 2).sum(axis=1, dtype=np.int64)
+        if rare:
+            ends = np.cumsum(length)
+            flat = np.insert(flat, np.repeat(ends[rare], [len(own[i]) for i in rare]), list(chain.from_iterable(own[i] for i in rare)))
+            length[rare] = [len(own[i]) for i in rare]
+        self.words.add(length, flat)
+        if len(self.units) > WORDS_KEPT or self.held_units > BYTES_KEPT:
+            self.clear_units()
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their number per text."""
-        if len(self.numbers) > WORDS_KEPT:
-            self.clear()
+        if len(self.numbers) > WORDS_KEPT or self.held > BYTES_KEPT:
+            self.forget()
         parts, counts = split_words(texts)
         known = len(self.numbers)
         number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if len(self.numbers) > known:
-            self.learn(list(self.numbers)[known:])
-        length = self.length[number]
-        ends = np.cumsum(length)
-        place = np.repeat(self.begin[number] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
-        return self.flat[place], segment_sums(length, counts)
+            new = newest(self.numbers, len(self.numbers) - known)
+            self.held += sum(map(len, new))
+            self.learn(new)
+        used = np.bincount(number, minlength=len(self.numbers))
+        used[:len(self.seen)] += self.seen
+        self.seen = used
+        length, flat = self.words.take(number)
+        return flat, segment_sums(length.astype(np.int64), counts)
 
 
 _by_path: dict[str, WordTokens] = {}
