@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -49,6 +50,16 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library, where there is one
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: a worker lives on, and its next task may be of another stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut batches into runs of whole rows with about ``size`` bytes of text, so that a worker's memory does not depend on
     the rows per batch; a longer text is a run of its own."""
@@ -62,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin), byte_texts(column.slice(begin))
+    give_back()
 
 
 def split_words(texts: list[bytes], lower: bool = False) -> tuple[list[list[bytes]], np.ndarray]:

@@ -14,7 +14,7 @@ import numpy as np
 
 from cohortloom.llm.texts import Numbering, segment_sums, split_words
 
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 BYTES_KEPT = 16 << 20  # of words, and of units
 LINE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\\[-`{-~]*)|(.*))$", re.MULTILINE)
 JOINED = 20_000
