@@ -30,13 +30,12 @@ RINGS = 32
 BLOCK = 2048
 QUERIES = 256
 WAVES = (1, 8, None)  # annuli that are expanded by the end of each wave
-LARGEST = 2**26  # of a whole component, so that scores of 2048 dimensions fit a long
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v) of the vectors that take part: an id, no null and no non-finite component."""
     v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) * SCALE < LARGEST))  # false for NaN and infinity
+    fine = F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))  # NaN is above infinity
     return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
 
 
@@ -77,19 +76,21 @@ def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def search(embeddings: DataFrame, k: int = K, every: int = 20, max_pivots: int = PIVOTS, max_rings: int = RINGS, block: int = BLOCK,
-           sample_rows: int = SAMPLE, waves=WAVES) -> DataFrame:
+           sample_rows: int = SAMPLE, waves=WAVES, watch: list[tuple[int, int]] | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products of every query (rows whose id ``every`` divides).
 
-    Null vectors, null ids and vectors with a null, non-finite or huge component (64 x of 2^26 and more) take no part; shorter
-    vectors count as ending in zeros. Ties go to the smaller vec_id. Rows that repeat a query's id are its own row and no candidate
+    Null vectors, null ids and vectors with a null or non-finite component take no part; shorter vectors count as ending in zeros.
+    An error is raised if components are so large that a score might not fit a long (dimensions x (64 x)^2 of 2^63 and more). Ties go to the smaller vec_id. Rows that repeat a query's id are its own row and no candidate
     of it; other repeated rows are candidates each. Of query rows with one id, each different vector is searched and ranked
     together. An empty table gives no rows; columns other than vec_id and embedding are not read.
     """
     rows = usable(embeddings)
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     n, dims = size["n"], max(1, size["dims"] or 0)
-    bound = SCALE * (size["most"] or 0) + 1
-    kind = next(t for t in (np.int8, np.int16, np.int32) if bound < np.iinfo(t).max)
+    bound = int(SCALE * (size["most"] or 0)) + 1
+    if bound * bound * dims >= 1 << 63:
+        raise OverflowError(f"scores of {dims} components up to {bound} do not fit a long")
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if bound < np.iinfo(t).max)
     exact = bound * bound * dims < 2**52  # products of doubles are then exact, else whole numbers are multiplied
     take = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 20)) < int(min(1.0, 0.9 * sample_rows / max(n, 1)) * (1 << 20))
     sample = rows.where(take).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow().combine_chunks()
@@ -142,11 +143,12 @@ def search(embeddings: DataFrame, k: int = K, every: int = 20, max_pivots: int =
                     ids, x = np.frombuffer(ids, np.int64), vectors(matrix)
                     least = np.full(len(ids), -np.inf)
                     for e in known or []:
-                        least[e["place"]] = e["score"]
+                        least[e["place"]] = np.nextafter(float(e["score"]), -np.inf)  # a long may lie between two doubles
                     q = x.astype(float)
                     d, own = distances(q, pivots)[:, annulus // max_rings], (q * q).sum(axis=1)[:, None]
-                    away = np.maximum(0, np.maximum(d - high, low - d) - 1e-6 * (1 + d))
-                    most = np.minimum((own + square - away**2) / 2, np.sqrt(own * square)) * (1 + 1e-9) + 1e-3
+                    # Distances and bounds are rounded, in proportion to the lengths: the slack covers that.
+                    away = np.maximum(0, np.maximum(d - high, low - d) - 1e-6 * (1 + d) - 2e-7 * (np.sqrt(own) + np.sqrt(square)))
+                    most = np.minimum((own + square - away**2) / 2, np.sqrt(own * square)) + 1e-9 * (own + square) + 1e-3
                     order = np.argsort(-most, axis=1, kind="stable")
                     rank = np.argsort(order, axis=1)
                     opened = (rank >= first) & (rank < (len(annulus) if last is None else last)) & (most >= least[:, None])
@@ -187,8 +189,15 @@ def search(embeddings: DataFrame, k: int = K, every: int = 20, max_pivots: int =
             closed = closed.groupBy(F.col("asked_by").alias("block")).agg(F.collect_list(F.struct("place", "score")).alias("least"))  # at most the queries of a group
             with_least = queries.join(closed, "block", "left")
         requests = with_least.mapInArrow(open_blocks(begin if begin > 1 else 0, end, begin == 1), "block long, share long, asked_by long, place binary, query binary, x binary, least binary")
-        copies = index.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
-        hits = copies.groupBy("block", "share").cogroup(requests.groupBy("block", "share")).applyInArrow(score, "asked_by long, place int, query_id long, vec_id long, score long")
+        # A block is copied to the shares that ask for it, and to no others.
+        requests = cut_lineage(requests)
+        if watch is not None:
+            count = index.select("block", (F.length("ids") / 8).alias("n"))
+            pairs = requests.join(count, "block").agg(F.sum(F.length("query") / 8 * F.col("n")).cast("long")).first()[0]
+            watch.append((pairs or 0, n * queries.agg(F.sum(F.length("ids") / 8).cast("long")).first()[0]))
+        wanted = requests.select(F.col("block").alias("_b"), F.col("share").alias("_s")).distinct()
+        copies = index.join(wanted, F.col("block") == F.col("_b")).drop("block")
+        hits = copies.groupBy("_b", "_s").cogroup(requests.groupBy("block", "share")).applyInArrow(score, "asked_by long, place int, query_id long, vec_id long, score long")
         hits = hits if best is None else best.unionByName(hits)
         best = cut_lineage(hits.withColumn("_r", F.row_number().over(best_first)).where(F.col("_r") <= k).drop("_r"))
         begin = end

@@ -64,5 +64,18 @@ def test_the_index_closes_annuli(spark):
     centers = 3 * r.normal(size=(12, 8))
     x = centers[r.integers(0, 12, 4000)] + 0.05 * r.normal(size=(4000, 8))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    got = sorted(tuple(r) for r in T.search(table(spark, rows)).where("query_id < 400").collect())
+    seen = []
+    got = sorted(tuple(r) for r in T.search(table(spark, rows), watch=seen).where("query_id < 400").collect())
     assert got == [b for b in brute(rows) if b[0] < 400]
+    assert len(seen) == len(T.WAVES)
+    assert 0 < sum(pairs for pairs, _ in seen) < 0.5 * seen[0][1]
+
+
+def test_large_components(spark):
+    rows = random_rows(60, 2) + [(80, [2e6, 1]), (81, [2e6, 1.5]), (100, [-3e6, 5])]
+    got = sorted(tuple(r) for r in T.search(table(spark, rows)).collect())
+    assert got == brute(rows) and {q for q, *_ in got} == {0, 20, 40, 80, 100}
+    rows = random_rows(40, 2) + [(60, [2.0**24 - 1, 2.0**24 - 1]), (61, [2.0**24 - 1, 2.0**24 - 3]), (80, [2.0**24 - 3, 2.0**24 - 1])]
+    assert sorted(tuple(r) for r in T.search(table(spark, rows)).collect()) == brute(rows)
+    with pytest.raises(OverflowError):
+        T.search(table(spark, rows + [(82, [1e30, 0])]))
