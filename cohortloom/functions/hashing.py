@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +44,8 @@ def replicate_number(rep: Column | str) -> Column:
     """Number in 0..prime-1 for (row, replicate): uniform over rows, pairwise independent over replicates."""
     rep = F.col(rep) if isinstance(rep, str) else rep
     return F.pmod(F.col("_h1") + rep * F.col("_h2"), F.lit(REPLICATE_PRIME).cast("long"))
+
+
+# Cumulative Poisson(1) probabilities; beyond the last one the weight stays at the maximum (probability below 2e-11).
+POISSON_STEPS = tuple(float(v) for v in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]))
+POISSON_CUTS = tuple(round(step * REPLICATE_PRIME) for step in POISSON_STEPS)

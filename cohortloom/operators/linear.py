@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
-from cohortloom.operators.resample import bootstrap_rows
+from cohortloom.operators.replicates import PLAIN, bootstrap_moments
 from cohortloom.operators.suffstats import Moments, moments
 from cohortloom.session import local_table
 
@@ -96,16 +96,17 @@ def ridge_bootstrap(
     """Distribution of cross-validated R squared over bootstrap replicates of the training rows.
 
     For every (replicate, fold) the model is fitted on weighted statistics of the other folds and scored on the
-    unweighted rows of its own fold.  Returns R squared per replicate (over the pooled out-of-fold predictions) and the
-    coefficients of every replicate and fold.
+    unweighted rows of its own fold; both kinds of statistics come from one scan.  Returns R squared per replicate (over
+    the pooled out-of-fold predictions) and the coefficients of every replicate and fold.
     """
-    plain = moments(df, [*features, target], [fold])
-    boot = moments(bootstrap_rows(df, key, replicates, seed), [*features, target], ["rep", fold], weight="weight",
-                   max_keys=replicates * len(plain.keys) + 1)
+    boot = bootstrap_moments(df, key, [*features, target], [fold], replicates, seed)
+    rows = [i for i, k in enumerate(boot.keys) if k[0] == PLAIN]
+    plain = Moments(boot.columns, boot.shift, [boot.keys[i][1:] for i in rows], boot.n[rows], boot.s[rows], boot.g[rows])
     y_total = plain.total().scatter[-1, -1]
     by_rep: dict[int, list[int]] = {}
     for i, (rep, _) in enumerate(boot.keys):
-        by_rep.setdefault(int(rep), []).append(i)
+        if rep != PLAIN:
+            by_rep.setdefault(int(rep), []).append(i)
     r2_rows, coef_rows = [], []
     for rep, rows in sorted(by_rep.items()):
         sse = 0.0

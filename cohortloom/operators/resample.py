@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.cleaning import col
-from cohortloom.functions.hashing import REPLICATE_PRIME, key_hash, replicate_number, with_replicate_hashes
+from cohortloom.functions.hashing import POISSON_CUTS, key_hash, replicate_number, with_replicate_hashes
 from cohortloom.operators.ranks import hashed_row_number
 
 
@@ -32,13 +30,6 @@ def stratified_split(df: DataFrame, label: str, key: str | Column, test: float =
     return numbered.withColumn(name, F.col("_position") <= quota).drop("_position", "group_rows")
 
 
-# Cumulative Poisson(1) probabilities; beyond the last one the weight stays at the maximum (probability below 2e-11).
-POISSON_STEPS = tuple(float(v) for v in np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)]))
-
-
-POISSON_CUTS = tuple(round(step * REPLICATE_PRIME) for step in POISSON_STEPS)
-
-
 def poisson_weight(number: Column) -> Column:
     """Bootstrap weight: Poisson(1) by inverse distribution function on a replicate number."""
     weight = F.lit(0)
@@ -52,6 +43,7 @@ def bootstrap_rows(df: DataFrame, key: str | Column, replicates: int, seed: int
 
     Keys are hashed once per row; a replicate costs a little integer arithmetic.  The replicates are unfolded inside the
     scan stage and are meant to be aggregated right away (partial sums per replicate), so copies never cross the network.
+    For means and cross products ``replicates`` does the same without unfolding.
     """
     hashed = with_replicate_hashes(df, key, seed)
     reps = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
@@ -59,12 +51,6 @@ def bootstrap_rows(df: DataFrame, key: str | Column, replicates: int, seed: int
     return reps.where(number >= F.lit(POISSON_CUTS[0])).withColumn("weight", poisson_weight(number)).drop("_h1", "_h2")
 
 
-def bootstrap_means(df: DataFrame, key: str | Column, columns: Sequence[str], replicates: int, seed: int = 42) -> DataFrame:
-    w = F.col("weight")
-    return bootstrap_rows(df, key, replicates, seed).groupBy("rep").agg(
-        F.sum(w).alias("n"), *[(F.sum(w * col(c)) / F.sum(F.when(col(c).isNotNull(), w))).alias(c) for c in columns])
-
-
 def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """R squared (against the mean) and mean squared error over rows that have both."""
     y, f = col(actual).cast("double"), col(predicted).cast("double")

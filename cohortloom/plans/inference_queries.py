@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import cluster
 from cohortloom.operators import inference as I
+from cohortloom.operators import replicates as R
 from cohortloom.operators import resample as S
 from cohortloom.operators.linear import oof_linear
 from cohortloom.operators.suffstats import moments, vector_moments
@@ -174,7 +175,7 @@ def bootstrap_sql(replicates: int, columns: str, source: str = "lineitem") -> st
 @query("bootstrap_means", f"""SELECT rep::INTEGER AS rep, sum(w)::BIGINT AS n, round(sum(w * l_quantity) / sum(w), 6) AS l_quantity, round(sum(w * l_extendedprice) / sum(w), 4) AS l_extendedprice
  FROM {bootstrap_sql(100, 'l_quantity, l_extendedprice')} GROUP BY rep""")
 def bootstrap_means(t):
-    b = S.bootstrap_means(t("lineitem"), F.expr(LINE_KEY), ["l_quantity", "l_extendedprice"], 100)
+    b = R.bootstrap_means(t("lineitem"), F.expr(LINE_KEY), ["l_quantity", "l_extendedprice"], 100)
     return rounded(b, 6, "l_quantity").withColumn("l_extendedprice", F.round("l_extendedprice", 4))
 
 

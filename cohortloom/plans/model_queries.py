@@ -10,6 +10,7 @@ from cohortloom.operators import latent as P
 from cohortloom.operators import linear as L
 from cohortloom.operators import pls_da as PD
 from cohortloom.operators import scaling as Z
+from cohortloom.operators import site_ridge as SR
 from cohortloom.operators.normative import deviation_summary, normative_z
 from cohortloom.operators.resample import assign_folds, regression_metrics
 from cohortloom.operators.suffstats import moments, pairwise_correlation, vector_moments, with_target
@@ -243,6 +244,41 @@ def ridge_bootstrap(t):
     return rounded(r2, 8, "r2")
 
 
+# Per (replicate, held-out fold, site): the statistics of the training rows, and location and scale of every site from them.
+@query("ridge_bootstrap_harmonised", f"""WITH f AS (SELECT *, {SITE} AS site FROM ({FOLD_SQL})), ks AS (SELECT DISTINCT fold AS k FROM f),
+ b AS (SELECT rep, fold, site, sum(w)::DOUBLE AS n, sum(w * l_quantity) AS s1, sum(w * l_discount) AS s2, sum(w * l_extendedprice) AS sy, sum(w * l_quantity * l_quantity) AS g11, sum(w * l_discount * l_discount) AS g22,
+  sum(w * l_quantity * l_discount) AS g12, sum(w * l_quantity * l_extendedprice) AS g1y, sum(w * l_discount * l_extendedprice) AS g2y FROM {bootstrap_sql(100, 'fold, site, l_quantity, l_discount, l_extendedprice', 'f')} GROUP BY rep, fold, site),
+ s AS (SELECT rep, k, site, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2, sum(sy) AS sy, sum(g11) AS g11, sum(g22) AS g22, sum(g12) AS g12, sum(g1y) AS g1y, sum(g2y) AS g2y FROM b JOIN ks ON k <> fold GROUP BY rep, k, site),
+ c AS (SELECT rep, k, site, n, s1 / n AS m1, s2 / n AS m2, sy, sqrt((g11 - s1 * s1 / n) / (n - 1)) AS d1, sqrt((g22 - s2 * s2 / n) / (n - 1)) AS d2, g11 - s1 * s1 / n AS r1, g22 - s2 * s2 / n AS r2,
+  g12 - s1 * s2 / n AS r12, g1y - s1 * sy / n AS c1, g2y - s2 * sy / n AS c2 FROM s),
+ p AS (SELECT rep, k, sqrt(sum(r1) / sum(n)) AS p1, sqrt(sum(r2) / sum(n)) AS p2 FROM c GROUP BY rep, k),
+ h AS (SELECT rep, k, site, n, m1, m2, sy, d1 / p1 AS d1, d2 / p2 AS d2, r1, r2, r12, c1, c2 FROM c JOIN p USING (rep, k)),
+ tr AS (SELECT rep, k, sum(sy) / sum(n) AS my, sum(r1 / d1 / d1) + 10 AS v1, sum(r2 / d2 / d2) + 10 AS v2, sum(r12 / d1 / d2) AS v12, sum(c1 / d1) AS c1, sum(c2 / d2) AS c2 FROM h GROUP BY rep, k),
+ w AS (SELECT rep, k, my, (c1 * v2 - c2 * v12) / (v1 * v2 - v12 * v12) AS w1, (c2 * v1 - c1 * v12) / (v1 * v2 - v12 * v12) AS w2 FROM tr),
+ o AS (SELECT rep, k, site, my, w1 / d1 AS w1, w2 / d2 AS w2, m1, m2 FROM w JOIN h USING (rep, k)),
+ e AS (SELECT rep, count(*) AS scored, sum(power(l_extendedprice - my - w1 * (l_quantity - m1) - w2 * (l_discount - m2), 2)) AS sse FROM f JOIN o ON o.k = f.fold AND o.site = f.site GROUP BY rep)
+SELECT rep::INTEGER AS rep, round(1 - sse / (SELECT var_pop(l_extendedprice) * count(*) FROM f), 8) AS r2, scored FROM e""")
+def ridge_bootstrap_harmonised(t):
+    """A hundred replicates x ten folds, each with its own site effects and ridge, from one scan."""
+    f = folded_lines(t).withColumn("site", F.expr(SITE))
+    r2, _ = SR.ridge_bootstrap_harmonised(f, F.expr(LINE_KEY), ["l_quantity", "l_discount"], "l_extendedprice", "fold", "site", 10.0, 100, eb=False)
+    return rounded(r2, 8, "r2")
+
+
+@query("ridge_tune_harmonised", f"""WITH f0 AS (SELECT *, {SITE} AS site FROM ({FOLD_SQL})),
+ h AS (SELECT site, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, var_samp(l_quantity) AS q1, var_samp(l_discount) AS q2, var_pop(l_quantity) * count(*) AS r1, var_pop(l_discount) * count(*) AS r2 FROM f0 GROUP BY site),
+ p AS (SELECT sum(r1) / sum(n) AS p1, sum(r2) / sum(n) AS p2, sum(n * m1) / sum(n) AS g1, sum(n * m2) / sum(n) AS g2 FROM h),
+ hf AS (SELECT fold, (l_quantity - m1) / sqrt(q1 / p1) + g1 AS l_quantity, (l_discount - m2) / sqrt(q2 / p2) + g2 AS l_discount, l_extendedprice FROM f0 JOIN h USING (site), p),
+ {_RIDGE_SQL.replace(f"f AS ({FOLD_SQL})", "f AS (SELECT * FROM hf)")}, al AS (SELECT i, power(10::DOUBLE, -4 + 8 * i / 999.0::DOUBLE) AS alpha FROM (SELECT unnest(range(0, 1000)) AS i)),
+ w AS (SELECT k, i, alpha, (c1 * (v2 + alpha) - c2 * v12) / ((v1 + alpha) * (v2 + alpha) - v12 * v12) AS w1, (c2 * (v1 + alpha) - c1 * v12) / ((v1 + alpha) * (v2 + alpha) - v12 * v12) AS w2 FROM tr, al)
+SELECT round(log10(alpha), 6) AS log_alpha, round(avg(1 - ({_SSE_SQL}) / te.vy), 8) AS mean_r2 FROM w JOIN tr USING (k) JOIN te USING (k) GROUP BY i, alpha""")
+def ridge_tune_harmonised(t):
+    """A thousand penalties on harmonised features, from one pass."""
+    f = folded_lines(t).withColumn("site", F.expr(SITE))
+    _, curve = SR.ridge_tune_harmonised(f, F.expr(LINE_KEY), ["l_quantity", "l_discount"], "l_extendedprice", "fold", "site", eb=False)
+    return curve.select(F.round(F.log10("alpha"), 6).alias("log_alpha"), F.round("mean_r2", 8).alias("mean_r2"))
+
+
 def supplier_runs(t):
     """Coefficients of one small regression per supplier: a table of model runs."""
     runs = t("lineitem").groupBy("l_suppkey").agg(
