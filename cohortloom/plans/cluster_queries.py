@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortloom.operators import boosting as BT
 from cohortloom.operators import cluster as C
 from cohortloom.operators import trees as G
 from cohortloom.operators.latent import principal_components
 from cohortloom.operators.linear import fold_gram, ridge_tune
 from cohortloom.operators.resample import assign_folds, regression_metrics
-from cohortloom.operators.suffstats import vector_moments
-from cohortloom.plans.inference_queries import MW_SQL
+from cohortloom.operators.suffstats import Moments, vector_moments
+from cohortloom.plans.inference_queries import FOLD_SQL, MW_SQL, bootstrap_sql, folded_lines
 from cohortloom.plans.registry import FEATURES, LINE_KEY, SITE, query
 from cohortloom.plans.summary_queries import rounded
 from cohortloom.session import local_table
@@ -139,19 +140,65 @@ def nested_cv(t):
     return folds.select("fold", "r2")
 
 
+# One tree of depth one per replicate and fold: cuts are distinct values, sums come from weighted counts per value.
+_STUMP = """WITH f AS ({fold}), ks AS (SELECT DISTINCT fold AS k FROM f),
+ b AS (SELECT rep, fold, {columns}, sum(w)::DOUBLE AS n, sum(w * l_extendedprice) AS sy FROM {rows} GROUP BY ALL),
+ v AS ({values}),
+ s AS (SELECT rep, k, j, v, sum(n) AS n, sum(sy) AS sy FROM v JOIN ks ON k <> fold GROUP BY rep, k, j, v),
+ t AS (SELECT rep, k, sum(n) AS h, sum(sy) / sum(n) AS base FROM s WHERE j = 0 GROUP BY rep, k),
+ c AS (SELECT rep, k, j, v, base, h, sum(n) OVER w AS lh, sum(sy) OVER w - base * sum(n) OVER w AS lg FROM s JOIN t USING (rep, k) WINDOW w AS (PARTITION BY rep, k, j ORDER BY v)),
+ g AS (SELECT *, lg * lg / (lh + 1) + lg * lg / (h - lh + 1) AS gain FROM c WHERE h - lh >= 1 AND lh >= 1),
+ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rep, k ORDER BY gain DESC, j, v) AS place FROM g) WHERE place = 1),
+ e AS (SELECT rep, sum(power(l_extendedprice - base - 0.3::DOUBLE * CASE WHEN CASE j WHEN 0 THEN l_quantity WHEN 1 THEN l_discount ELSE l_tax END <= v THEN lg / (lh + 1) ELSE -lg / (h - lh + 1) END, 2)) AS sse
+  FROM f JOIN best ON k = fold GROUP BY rep)
+SELECT rep::INTEGER AS rep, round(1 - sse / (SELECT var_pop(l_extendedprice) * count(*) FROM f), 7) AS r2 FROM e"""
+
+
+@query("gbt_bootstrap", _STUMP.format(
+    fold=FOLD_SQL, columns=", ".join(_XS), rows=bootstrap_sql(100, "fold, l_extendedprice, " + ", ".join(_XS), "f"),
+    values=" UNION ALL ".join(f"SELECT rep, fold, {j} AS j, {c} AS v, sum(n) AS n, sum(sy) AS sy FROM b GROUP BY rep, fold, {c}" for j, c in enumerate(_XS))))
+def gbt_bootstrap(t):
+    """A hundred replicates x ten folds of boosted trees (one tree of depth one): a thousand models in two shared scans."""
+    r2, _ = BT.gbt_bootstrap(folded_lines(t), F.expr(LINE_KEY), _XS, "l_extendedprice", "fold", {"n_estimators": 1, "max_depth": 1, "eta": 0.3}, 100)
+    return rounded(r2, 7, "r2")
+
+
+@query("gbt_bootstrap_harmonised")
+def gbt_bootstrap_harmonised(t):
+    """Deeper trees on features whose site effects every replicate and fold removes from its own training rows."""
+    f = folded_lines(t).withColumn("site", F.expr(SITE))
+    r2, _ = BT.gbt_bootstrap(f, F.expr(LINE_KEY), _XS, "l_extendedprice", "fold", {"n_estimators": 2, "max_depth": 2, "eta": 0.3}, 5, site="site", passive=["l_tax"])
+    return r2
+
+
+_SHORT_SPACE = {**G.SEARCH_SPACE, "n_estimators": (1, 3, "int")}
+
+
+@query("hyper_search_shared")
+def hyper_search_shared(t):
+    """Fifty draws of all seven parameters x three folds (few trees each): 150 models that share their scans."""
+    _, trials = BT.search_shared(lines(t), "id", _XS, "l_extendedprice", _SHORT_SPACE, n_iter=50, cv=3)
+    return trials.select("trial", "r2")
+
+
+_GRID_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_suppkey"]
+_GRID_SETS = {f"without_{a}": [c for c in _GRID_COLUMNS if c != a] for a in _GRID_COLUMNS} | {
+    "amounts": ["l_quantity", "l_extendedprice"], "rates": ["l_discount", "l_tax"], "places": ["l_linenumber", "l_suppkey"], "all": _GRID_COLUMNS}
+
+
 @query("run_grid")
 def run_grid(t):
-    """Targets x feature sets, a few runs at a time."""
-    data = lines(t)
-    sets = {"rates": ["l_discount", "l_tax"], "amounts": ["l_quantity", "l_tax"]}
-    folded = assign_folds(data, "id", 3)
+    """Four targets x ten feature sets, tuned over a thousand penalties in ten folds; all forty runs use the statistics of one scan."""
+    folded = assign_folds(t("lineitem").withColumn("id", F.expr(LINE_KEY)), "id", 10)
+    m = fold_gram(folded, _GRID_COLUMNS[:-1], _GRID_COLUMNS[-1], "fold")
 
     def one(target: str, name: str):
-        m = fold_gram(folded, sets[name], target, "fold")
-        alpha, curve = ridge_tune(m, t.spark)
+        own = [m.columns.index(c) for c in _GRID_SETS[name] if c != target] + [m.columns.index(target)]
+        part = Moments([m.columns[i] for i in own], m.shift[own], m.keys, m.n, m.s[:, own], m.g[:, own][:, :, own])
+        alpha, curve = ridge_tune(part, t.spark)
         return {"r2": curve.agg(F.max("mean_r2")).first()[0], "params": {"alpha": alpha}}
 
-    return G.run_grid(t.spark, ["l_extendedprice"], list(sets), one).select("target", "feature_set", "r2", "error")
+    return G.run_grid(t.spark, FEATURES, list(_GRID_SETS), one).select("target", "feature_set", "r2", "error")
 
 
 @query("permutation_importance")
