@@ -1,15 +1,15 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 Pieces of documents are dealt into shards of bounded size. On every shard several islands evolve populations of packings, each in
-its own task: crossover injects whole well-filled sequences of one parent into the other, removes what is now there twice, and
-places the displaced pieces by best fit. Between rounds the islands of a shard send their elites to the next island. Sequences
+its own task: crossover injects whole well-filled sequences of one parent into the other, removes what is now there twice, lets
+sequences exchange pieces for displaced ones that fill them better, and places what is left by best fit. Between rounds the islands of a shard send their elites to the next island. Sequences
 that stay badly filled are opened and packed again together with those of other shards.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +34,7 @@ WELL_FILLED = 0.999
 OPENED_BELOW = 0.98
 LEVELS = 4
 BIN_BITS = 24
+BIGGEST = 1 << 62
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Packing = list[list[int]]
 
@@ -89,6 +90,45 @@ def fitness(bins: Packing, length: list[int], capacity: int) -> tuple[int, float
     return len(bins), -sum((sum(length[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def exchange(bins: Packing, displaced: list[int], length: list[int], capacity: int) -> list[int]:
+    """Bins that are not full give one piece, or two, for one or two displaced pieces that fill them better; returns what is displaced then.
+
+    The pieces that are left over are smaller, so best fit places them more easily.
+    """
+    free = sorted((length[i], i) for i in displaced)
+    for b in bins:
+        room = capacity - sum(length[i] for i in b)
+        if not room or not free:
+            continue
+        best = (0, (), ())
+        for out in [(i,) for i in b] + [(i, j) for k, i in enumerate(b) for j in b[k + 1:]][:64]:
+            held = sum(length[i] for i in out)
+            most = held + room
+            k = bisect_right(free, (most, BIGGEST)) - 1
+            if k >= 0 and free[k][0] - held > best[0]:
+                best = (free[k][0] - held, out, (free[k],))
+            low, high = 0, len(free) - 1
+            while low < high:  # the pair with the largest sum that fits
+                both = free[low][0] + free[high][0]
+                if both > most:
+                    high -= 1
+                else:
+                    if both - held > best[0]:
+                        best = (both - held, out, (free[low], free[high]))
+                    low += 1
+            if best[0] == room:
+                break
+        gain, out, into = best
+        if gain:
+            for piece in into:
+                free.remove(piece)
+                b.append(piece[1])
+            for i in out:
+                b.remove(i)
+                insort(free, (length[i], i))
+    return [i for _, i in free]
+
+
 def crossover(mother: Packing, father: Packing, length: list[int], capacity: int, random) -> Packing:
     """Whole well-filled bins of the father enter; the mother's bins that share a piece with them are opened, and their other
     pieces are placed by best fit, largest first."""
@@ -103,6 +143,7 @@ def crossover(mother: Packing, father: Packing, length: list[int], capacity: int
             displaced += [i for i in b if i not in there]
         else:
             bins.append(list(b))
+    displaced = exchange(bins, displaced, length, capacity)
     free = sorted((capacity - s) << BIN_BITS | k for k, b in enumerate(bins) if (s := sum(length[i] for i in b)) < capacity)
     best_fit(sorted(displaced, key=lambda i: (-length[i], i)), length, bins, free, capacity)
     return bins

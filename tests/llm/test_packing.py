@@ -90,3 +90,35 @@ def test_evolution_never_gets_worse_and_repeats():
 def test_prose_fits(spark):
     rows = P.pack(documents(spark, [(i, PROSE, "a") for i in range(50)]), PATH).collect()
     assert check(rows, [(i, whole(PROSE) + [1]) for i in range(50)]) == 1
+
+
+def triplets(seed=0, many=60, capacity=1000):
+    """Lengths that fill ``many`` sequences to the brim, three by three; best fit decreasing misses that by far."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(many):
+        a = int(r.integers(380, 490))
+        b = int(r.integers(250, (capacity - a) // 2 + 1))
+        out += [a, b, capacity - a - b]
+    return sorted(out, reverse=True)
+
+
+def test_islands_beat_best_fit_decreasing(monkeypatch):
+    made = []
+    original = P.crossover
+    monkeypatch.setattr(P, "crossover", lambda *a: made.append(1) or original(*a))
+    for seed in range(4):
+        length = triplets(seed)
+        plain = P.packed(list(range(len(length))), length, 1000)
+        own = P.evolve(length, [], 1000, [seed, 0, 0])
+        assert len(own[0]) <= len(plain) - 2 and sorted(i for b in own[0] for i in b) == list(range(len(length)))
+        assert all(sum(length[i] for i in b) <= 1000 for b in own[0])
+    assert len(made) == 4 * P.GENERATIONS
+
+
+def test_packing_beats_best_fit_decreasing(spark):
+    length = triplets(1)
+    texts = [(i, " ".join(["word"] * (n - 1)), "a") for i, n in enumerate(length)]
+    rows = P.pack(documents(spark, texts), PATH, capacity=1000).collect()
+    used = check(rows, [(i, whole(t) + [1]) for i, t, _ in texts], 1000)
+    assert 60 <= used <= len(P.packed(list(range(len(length))), length, 1000)) - 2
