@@ -15,6 +15,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -487,8 +488,9 @@ def nested_cv_shared(
     spark = df.sparkSession
     summary = (float(scores.mean()) if len(scores) else None, best[1], low, high, r2_holdout)
     if record:
-        names = ("mean_r2", "best_r2", "ci_low", "ci_high", "r2_holdout")
-        append_run_record(spark, record, {"target": target, "minutes": (time.time() - begin) / 60, "params": str(best[2]), **dict(zip(names, summary))})
+        append_run_record(spark, record, {
+            "run_at": datetime.now(), "target": target, "metric": "r2", "features": features, "quick_run": False, "bootstrap": False, "params": {k: str(v) for k, v in space.items()},
+            "best_params": {k: str(v) for k, v in best[2].items()}, "r2_test": summary[0], "ci_low": low, "ci_high": high, "run_minutes": (time.time() - begin) / 60})
     return (local_table(spark, [(f, r, {k: str(v) for k, v in d.items()}) for f, r, d in folds], "fold int, r2 double, params map<string,string>"),
             local_table(spark, shares, "fold int, feature string, importance double"),
             local_table(spark, [summary], "mean_r2 double, best_r2 double, ci_low double, ci_high double, r2_holdout double"))

@@ -1,16 +1,20 @@
 """Exact ordering statistics without ever sorting a whole group in one task.
 
 The obvious plan for ranks, medians or cumulative minima is a window over the whole group, which puts all rows of a
-measure into a single task.  Here a mergeable sketch first proposes cut points per group (a small table whose size is
+measure into a single task.  Ranks: a mergeable sketch first proposes cut points per group (a small table whose size is
 checked before it is broadcast).  They cut a group into slices; slice totals give every slice its starting offset, and
 windows run inside slices of distinct values only.  The sketch decides where slices begin and never what the result is.
+Quantiles: histograms over the leading bits of the values, refined only where a quantile lies.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,13 +22,12 @@ from pyspark.sql import Window as W
 from cohortloom.functions.cleaning import col
 from cohortloom.functions.hashing import order_hash
 from cohortloom.operators.align import keyed_join
-from cohortloom.session import bounded_broadcast, settle
+from cohortloom.session import bounded_broadcast, quoted, settle
 
 SLICES, MOST_SLICES = 64, 512
 SLICE_ROWS = 100_000
-# Sketch accuracy for quantiles, and how far around a target the bracket reaches (several times the sketch error).
-ACCURACY = 2000
-MARGIN = 4 / ACCURACY
+CELL_SHIFTS = (42, 21, 0)  # low bits of a value's code that a cell leaves open, scan by scan
+CELL_ROWS = 1_000_000  # rows of an open cell that are ordered by value
 
 
 def _with_small(df: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -92,51 +95,76 @@ def avg_rank(df: DataFrame, by: Sequence[str], value: str, hit: Column | None =
     return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / 2)
 
 
+def _histogram(rows: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    """Rows, least and largest value per key and cell; a cell is the leading bits of a value's order-preserving 64-bit code."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("_x").to_numpy(zero_copy_only=False) + 0.0  # -0 counts as 0
+            code = x.view(np.int64)
+            code = (code ^ (code >> 63 & np.int64(2**63 - 1))) >> shift
+            table = pa.table([*(b.column(k) for k in keys), pa.array(code), pa.array(x)], names=[*keys, "_cell", "_x"])
+            counted = table.group_by([*keys, "_cell"]).aggregate([([], "count_all"), ("_x", "min"), ("_x", "max")])
+            out = counted.select([*keys, "_cell", "count_all", "_x_min", "_x_max"]).rename_columns([*keys, "_cell", "n", "lo", "hi"])
+            yield from out.combine_chunks().to_batches()
+
+    schema = ", ".join([*(f"{quoted(k)} {kinds[k]}" for k in keys), "_cell long, n long, lo double, hi double"])
+    found = rows.select(*map(col, keys), "_x").mapInArrow(cells, schema)
+    return found.groupBy(*map(col, keys), "_cell").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles with linear interpolation, one column per entry of ``probs``; NULLs are left out.
+    """Exact quantiles with linear interpolation, one column per entry of ``probs``; NULLs are left out.  Values are taken as doubles.
 
-    A sketch brackets every target within a fraction of a percent of the rows.  One more scan counts what lies below the
-    bracket and keeps the values inside it, so only that sliver is shuffled and ordered.  Should a sketch ever miss its
-    target the job stops with an error instead of returning a neighbour; ``ranked_counts`` needs no such bracket.
+    One scan counts the rows by the leading bits of the values (a cell spans a thousandth of a power of two), with the least and
+    largest value of every cell.  Many quantiles are known then: the ends of a cell, and cells of one value.  For the others the rows
+    of their cell alone are counted by value, after splitting it by further bits for as long as it holds over ``CELL_ROWS`` rows.
+    Nothing is estimated, so neither lumps nor outliers matter.
     """
     by, names = list(by), list(probs)
-    known = df.where(col(value).isNotNull()).select(*map(col, by), col(value).alias("_x"))
-    edges = [e for p in probs.values() for e in (max(p - MARGIN, 0.0), min(p + MARGIN, 1.0))]
-    sketch = known.groupBy(*map(col, by)).agg(
-        F.percentile_approx("_x", F.array(*map(F.lit, edges)), ACCURACY).alias("_edges"), F.count(F.lit(1)).alias("_total"))
-    brackets = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("_edges")[2 * j].alias("lo"), F.col("_edges")[2 * j + 1].alias("hi"))
-                                   for j in range(len(names))])).alias("b")
-    long = _with_small(known, sketch, by).select(*map(col, by), "_x", "_total", brackets)
-    side = F.when(F.col("_x") < F.col("b.lo"), -1).when(F.col("_x") > F.col("b.hi"), 1).otherwise(0)
-    # Equal-width slices inside the narrow bracket.
-    part = F.floor((F.col("_x") - F.col("b.lo")) / F.nullif(F.col("b.hi") - F.col("b.lo"), F.lit(0)) * SLICES)
-    placed = long.select(*map(col, by), "_x", "_total", F.col("b.j").alias("_j"), side.alias("_side"), part.alias("_part"))
-    inside = F.col("_side") == 0
-    counts = placed.groupBy(*map(col, by), "_j", "_total", "_side", F.coalesce(F.when(inside, F.col("_part")), F.lit(0)).alias("_slice"),
-                            F.when(inside, F.col("_x")).alias("_v")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_x").alias("_least"), F.max("_x").alias("_most"))
-    keys = [*by, "_j"]
-    # The slice table carries the extremes as well: needing the same columns, both uses share one scan and shuffle.
-    starts = _offsets(counts, keys, ["_side", "_slice"], _low=F.min("_least"), _high=F.max("_most"))
-    joined = keyed_join(counts, starts, [*keys, "_side", "_slice"], "inner", null_safe=True)
-    w = W.partitionBy(*map(col, keys), "_side", "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = joined.withColumn("before", F.col("_start") + F.coalesce(F.sum("n").over(w), F.lit(0)))
+    known = df.where(col(value).isNotNull()).select(*map(col, by), col(value).cast("double").alias("_x"))
+
+    def before(keys: Sequence[str], order: str) -> Column:
+        earlier = W.partitionBy(*map(col, keys)).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(earlier), F.lit(0))
+
+    def inside(rest: DataFrame) -> DataFrame:
+        """Rows of the open cells, once per quantile that needs them."""
+        both = _with_small(known, rest.select(*map(col, by), "_t", "_k", "_total", "_start", "lo", "hi"), by)
+        return both.where(F.col("_x").between(F.col("lo"), F.col("hi"))).select(*map(col, by), "_t", "_x")
+
+    keys = [*by, "_t"]
+    here = (F.col("_start") <= F.col("_k")) & (F.col("_k") < F.col("_start") + F.col("n"))
+    columns = [*map(col, by), "_t", "_k", "_total", "_start", "n", "lo", "hi"]
+    total = F.sum("n").over(W.partitionBy(*map(col, by)))
+    counted = _histogram(known, by, CELL_SHIFTS[0]).withColumns({"_start": before(by, "_cell"), "_total": total})
+    positions = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs.values()]
+    targets = F.explode(F.array(*[F.struct(F.lit(2 * j + up).alias("_t"), (F.ceil if up else F.floor)(at).alias("_k")) for j, at in enumerate(positions) for up in (0, 1)]))
+    cell, _ = settle(counted.withColumn("_target", targets).select("*", "_target.*").where(here).select(*columns))
+    end = F.when(F.col("_k") == F.col("_start"), F.col("lo")).when(F.col("_k") == F.col("_start") + F.col("n") - 1, F.col("hi")).when(F.col("lo") == F.col("hi"), F.col("lo"))
+    done = []
+    for shift in [*CELL_SHIFTS[1:], None]:
+        done.append(cell.withColumn("_v", end).where(F.col("_v").isNotNull()).select(*map(col, keys), "_total", "_v"))
+        rest = cell.where(end.isNull())
+        largest = rest.agg(F.max("n")).first()[0]
+        if largest is None:
+            break
+        place = rest.select(*map(col, keys), "_k", "_total", F.col("_start").alias("_first"))
+        if largest <= CELL_ROWS or shift is None:
+            counts = inside(rest).groupBy(*map(col, keys), "_x").agg(F.count(F.lit(1)).alias("n")).withColumn("_before", before(keys, "_x"))
+            found = keyed_join(counts, place, keys, "inner", null_safe=True).withColumn("_start", F.col("_first") + F.col("_before")).where(here)
+            done.append(found.select(*map(col, keys), "_total", F.col("_x").alias("_v")))
+            break
+        finer = _histogram(inside(rest), keys, shift).withColumn("_before", before(keys, "_cell"))
+        cell, _ = settle(keyed_join(finer, place, keys, "inner", null_safe=True).withColumn("_start", F.col("_first") + F.col("_before")).where(here).select(*columns))
+    every = reduce(DataFrame.unionByName, done)
     aggs = []
     for j, name in enumerate(names):
         position = F.lit(float(probs[name])) * (F.col("_total") - 1)
-        low, high = F.floor(position), F.ceil(position)
-
-        def at(k: Column, j: int = j) -> Column:
-            # The rows just outside the bracket may be needed for interpolation: their extremes are kept.
-            here = F.when(inside & (F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col("_v")).when(
-                (F.col("_side") == -1) & (k == F.col("n") - 1), F.greatest("_most", "_high")).when(
-                (F.col("_side") == 1) & (k == F.col("before")), F.least("_least", "_low"))
-            return F.max(F.when(F.col("_j") == j, here))
-
-        share = F.max(F.when(F.col("_j") == j, position - low))
-        missed = F.raise_error(F.lit(f"the sketch missed quantile {name}")).cast("double")
-        aggs.append(F.coalesce(at(low) + (at(high) - at(low)) * share, missed).alias(name))
-    return ranked.groupBy(*map(col, by)).agg(*aggs)
+        low, high = (F.max(F.when(F.col("_t") == 2 * j + up, F.col("_v"))) for up in (0, 1))
+        aggs.append((low + (high - low) * F.max(position - F.floor(position))).alias(name))
+    return every.groupBy(*map(col, by)).agg(*aggs)
 
 
 def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:

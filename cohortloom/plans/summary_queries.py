@@ -104,6 +104,17 @@ def group_median(t):
     return rounded(ranks.exact_median(sited, ["site"], "l_extendedprice"), 4, "median")
 
 
+_LUMPY = "CASE WHEN l_orderkey % 10 < 8 THEN 7.5 WHEN l_orderkey % 10 = 8 THEN -l_extendedprice * 1000000000.0 ELSE l_extendedprice / 1000.0 END"
+
+
+@query("group_median_lumpy", f"""SELECT l_returnflag, round(quantile_cont(x, 0.05), 4) AS p05, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.95), 4) AS p95
+ FROM (SELECT l_returnflag, CAST({_LUMPY} AS DOUBLE) AS x FROM lineitem) GROUP BY l_returnflag""")
+def group_median_lumpy(t):
+    """Quantiles where most rows have one value and the others lie far out."""
+    x = t("lineitem").select("l_returnflag", F.expr(f"CAST({_LUMPY} AS DOUBLE)").alias("x"))
+    return rounded(ranks.exact_quantiles(x, ["l_returnflag"], "x", {"p05": 0.05, "median": 0.5, "p95": 0.95}), 4, "p05", "median", "p95")
+
+
 @query("percentile_bounds", """SELECT l_returnflag, round(quantile_cont(v, 0.05), 4) AS lower, round(quantile_cont(v, 0.025), 4) AS ci_low, round(quantile_cont(v, 0.975), 4) AS ci_high,
  quantile_cont(v, 0.05) > 0 AS above_zero, 0.05::DOUBLE AS alpha FROM (SELECT l_returnflag, l_extendedprice - 9000 * l_tax AS v FROM lineitem) GROUP BY l_returnflag""")
 def percentile_bounds(t):

@@ -133,3 +133,17 @@ def test_constant_and_empty_columns(spark):
     binned = B.bin_rows(df, "id", X, "y", "fold", 7)
     booster = B.fit_many(binned, [B.Model(n_estimators=2)])[0]
     assert booster.importances(3)[:2].tolist() == [0, 0] and booster.importances(3)[2] == 1
+
+
+def test_nested_cross_validation(spark, tmp_path):
+    df = cohort(spark)
+    space = {"n_estimators": (2, 5, "int"), "max_depth": (1, 3, "int"), "eta": (0.2, 0.6, "real")}
+    folds, shares, summary = B.nested_cv_shared(df.where("id % 10 <> 0"), "id", X, "y", "site", space, outer=2, n_iter=2, inner=2, passive=["c"], holdout=df.where("id % 10 = 0"),
+                                                covariance=False, record=f"{tmp_path}/runs")
+    rows, one = folds.orderBy("fold").collect(), summary.first()
+    scores = [r.r2 for r in rows]
+    assert len(rows) == 2 and shares.count() == 6
+    assert one.mean_r2 == pytest.approx(np.mean(scores)) and one.best_r2 == max(scores) and one.r2_holdout is not None
+    assert (one.ci_low, one.ci_high) == pytest.approx(tuple(np.percentile(scores, [2.5, 97.5])))
+    kept = spark.read.parquet(f"{tmp_path}/runs").first()
+    assert kept.target == "y" and kept.ci_low == one.ci_low and kept.best_params.keys() == space.keys()

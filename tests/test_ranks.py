@@ -37,6 +37,20 @@ def test_quantiles_skewed_groups(spark):
         assert got[name] == pytest.approx(tuple(np.percentile(part, [5, 50, 90])))
 
 
+@pytest.mark.parametrize("most", [1_000_000, 50, 1])
+def test_quantiles_of_lumps_and_outliers(spark, monkeypatch, most):
+    """Cells are split by more bits, down to single values, where they hold many rows."""
+    monkeypatch.setattr(ranks, "CELL_ROWS", most)
+    rng = np.random.default_rng(4)
+    v = np.concatenate([np.full(900, 1.5), 1 + rng.random(400) * 1e-5, -1e300 * rng.random(30), [1e-310, -0.0, 0.0, 5e-324], np.nextafter(1.5, 2) * np.ones(50)])
+    got = ranks.exact_quantiles(frame(spark, v.tolist()).repartition(5), [], "v", {f"q{i}": i / 40 for i in range(41)}).first()
+    assert [got[f"q{i}"] for i in range(41)] == pytest.approx([float(np.quantile(v, i / 40)) for i in range(41)], rel=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    assert ranks.exact_quantiles(frame(spark, [None, None], ["a", "b"]), ["g"], "v", {"q": 0.5}).count() == 0
+
+
 def brute_rank(values):
     return {x: np.mean([i + 1 for i, y in enumerate(sorted(values)) if y == x]) for x in values}
 
