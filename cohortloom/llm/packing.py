@@ -34,6 +34,7 @@ WELL_FILLED = 0.999
 OPENED_BELOW = 0.98
 LEVELS = 4
 BIN_BITS = 24
+SLICE_BYTES = 8 << 20  # of text whose words are looked up together
 BIGGEST = 1 << 62
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Packing = list[list[int]]
@@ -44,7 +45,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = TaskContext.get().partitionId() << 40, 0
-        for b, texts in slices(batches):
+        for b, texts in slices(batches, size=SLICE_BYTES):
             ids, counts = word_tokens(tokenizer).ids(texts)
             flat, at = ids.astype("<u4"), 0
             out: list[tuple] = []

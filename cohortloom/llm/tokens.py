@@ -2,21 +2,24 @@
 
 The tokenizer drops white space and never joins words over it, so a text's ids are the ids of its words in a row
 (``tests/llm`` compares both ways). Words of plain Latin letters with trailing signs are split once more, because their two parts
-are separate units of the tokenizer: this makes far fewer distinct units. Ids of units and words lie in flat arrays.
+are separate units of the tokenizer: this makes far fewer distinct units. Words, units and ids lie in Arrow and numpy arrays; only words
+that are not plain pass through Python one by one.
 """
 
 from __future__ import annotations
 
-import re
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from cohortloom.llm.texts import Numbering, segment_sums, split_words
+from cohortloom.llm.texts import segment_sums
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 BYTES_KEPT = 16 << 20  # of words, and of units
-LINE = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ſ]+)([!-/:-@\\[-`{-~]*)|(.*))$", re.MULTILINE)
+# Letters up to U+017F whose lower case is one letter (U+0130 is not), then ASCII signs.
+PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-įı-ſ]+)(?P<signs>[!-/:-@\\[-`{-~]*)$"
 JOINED = 20_000
 
 
@@ -39,9 +42,33 @@ class Lists:
         return length, self.flat[place]
 
 
-def newest(known: dict, many: int) -> list:
-    """The keys that came last, in their order."""
-    return list(islice(reversed(known), many))[::-1]
+class Known:
+    """Distinct strings, numbered in the order in which they come, with their ids."""
+
+    def __init__(self):
+        self.keys, self.ids, self.seen = pa.array([], pa.string()), Lists(), np.zeros(0, np.int64)
+
+    def number(self, keys: pa.StringArray) -> tuple[np.ndarray, pa.StringArray]:
+        """Numbers of distinct strings, and the new ones among them, whose ids have to be added next."""
+        at = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(at.is_null())
+        number = at.fill_null(-1).to_numpy().astype(np.int64)
+        number[number < 0] = len(self.keys) + np.arange(len(new))
+        self.keys = pa.concat_arrays([self.keys, new])
+        return number, new
+
+    def full(self) -> bool:
+        return len(self.keys) > WORDS_KEPT or self.keys.nbytes > BYTES_KEPT
+
+    def without_rare(self) -> Known:
+        """What was seen more than once since the last time; nothing, if that is more than half."""
+        keep = np.flatnonzero(self.seen > 1)
+        out = Known()
+        keys = self.keys.take(pa.array(keep))
+        if len(keys) <= WORDS_KEPT // 2 and keys.nbytes <= BYTES_KEPT // 2:
+            out.keys, out.seen = keys, np.zeros(len(keep), np.int64)
+            out.ids.add(*self.ids.take(keep))
+        return out
 
 
 class WordTokens:
@@ -55,79 +82,73 @@ class WordTokens:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.numbers, self.words, self.seen, self.held = Numbering(), Lists(), np.zeros(0, np.int64), 0
-        self.clear_units()
-
-    def clear_units(self) -> None:
-        """Unit 0 is no unit at all."""
-        self.units, self.parts, self.held_units = Numbering({"": 0}), Lists(), 0
-        self.parts.add(np.zeros(1, np.int64), np.zeros(0, np.int64))
-
-    def forget(self) -> None:
-        keep = np.flatnonzero(self.seen > 1)
-        if len(keep) > WORDS_KEPT // 2:
-            keep = keep[:0]
-        words = list(self.numbers)
-        kept = Lists()
-        kept.add(*self.words.take(keep))
-        self.numbers = Numbering((words[i], k) for k, i in enumerate(keep.tolist()))
-        self.words, self.seen, self.held = kept, np.zeros(len(keep), np.int64), sum(map(len, self.numbers))
-        if self.held > BYTES_KEPT // 2:
-            self.numbers, self.words, self.seen, self.held = Numbering(), Lists(), np.zeros(0, np.int64), 0
+        self.words, self.units = Known(), Known()
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def learn_units(self, units: list[str]) -> None:
+    def learn_units(self, units: pa.StringArray) -> None:
         """Most units are runs of letters, or of signs: each gives one piece with a single end mark, so many can go in one text."""
         for i in range(0, len(units), JOINED):
-            part = units[i:i + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            part = units.slice(i, JOINED)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and (not len(cut) or cut[-1] == len(ids)):
-                self.parts.add(np.diff(cut, prepend=0), ids)
+                self.units.ids.add(np.diff(cut, prepend=0), ids)
             else:
-                own = [self.encode(unit) for unit in part]
-                self.parts.add(np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int64))
-
-    def learn(self, words: list[bytes]) -> None:
-        """Words have no line feeds, so one pass of an expression splits all of them into letters and signs, or finds them odd."""
-        stems, signs, odd = zip(*LINE.findall(b"\n".join(words).decode("utf-8", "replace")))
-        stems = "\n".join(stems).lower().split("\n")
-        known = len(self.units)
-        # An odd word is a unit of its own; as such it may be cut into several pieces.
-        rare = [i for i, o in enumerate(odd) if o]
-        own = {i: self.encode(odd[i]) for i in rare}
-        first = np.fromiter(map(self.units.__getitem__, stems), np.int64, len(words))
-        second = np.fromiter(map(self.units.__getitem__, signs), np.int64, len(words))
-        new = newest(self.units, len(self.units) - known)
-        self.held_units += sum(map(len, new))
+                own = [self.encode(unit) for unit in part.to_pylist()]
+                self.units.ids.add(np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(chain.from_iterable(own), np.int64))
+
+    def numbered_units(self, parts: pa.StringArray) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        number, new = self.units.number(coded.dictionary)
         self.learn_units(new)
-        length, flat = self.parts.take(np.stack([first, second], axis=1).ravel())
-        length = length.reshape(-1, 2).sum(axis=1, dtype=np.int64)
-        if rare:
-            ends = np.cumsum(length)
-            flat = np.insert(flat, np.repeat(ends[rare], [len(own[i]) for i in rare]), list(chain.from_iterable(own[i] for i in rare)))
-            length[rare] = [len(own[i]) for i in rare]
-        self.words.add(length, flat)
-        if len(self.units) > WORDS_KEPT or self.held_units > BYTES_KEPT:
-            self.clear_units()
+        return number[coded.indices.to_numpy()]
+
+    def learn(self, words: pa.StringArray) -> None:
+        found = pc.extract_regex(words, PLAIN)
+        plain = found.is_valid()
+        own = [self.encode(w.decode("utf-8", "replace")) for w in words.filter(pc.invert(plain)).view(pa.binary()).to_pylist()]
+        plain = plain.to_numpy(zero_copy_only=False)
+        letters, signs = (found.field(i).filter(pa.array(plain)) for i in (0, 1))
+        letters, signed = self.numbered_units(pc.utf8_lower(letters)), pc.not_equal(signs, "")
+        behind = self.numbered_units(signs.filter(signed))
+        # Both parts of a plain word in a row; words without signs have one part.
+        signed = signed.to_numpy(zero_copy_only=False)
+        many = 1 + signed
+        part = np.empty(many.sum(), np.int64)
+        at = np.cumsum(many) - many
+        part[at], part[at[signed] + 1] = letters, behind
+        of_part, flat = self.units.ids.take(part)
+        length = np.empty(len(words), np.int64)
+        length[plain], length[~plain] = segment_sums(of_part.astype(np.int64), many), [len(o) for o in own]
+        if own:
+            mine = np.repeat(plain, length)
+            both = np.empty(len(mine), np.int64)
+            both[mine], both[~mine] = flat, list(chain.from_iterable(own))
+            flat = both
+        self.words.ids.add(length, flat)
+        if self.units.full():
+            self.units = Known()
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their number per text."""
-        if len(self.numbers) > WORDS_KEPT or self.held > BYTES_KEPT:
-            self.forget()
-        parts, counts = split_words(texts)
-        known = len(self.numbers)
-        number = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
-        if len(self.numbers) > known:
-            new = newest(self.numbers, len(self.numbers) - known)
-            self.held += sum(map(len, new))
+        if self.words.full():
+            self.words = self.words.without_rare()
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        real = pc.not_equal(lists.flatten(), "")  # white space at either end of a text gives empty words
+        counts = segment_sums(real.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+        coded = lists.flatten().filter(real).dictionary_encode()
+        number, new = self.words.number(coded.dictionary)
+        if len(new):
             self.learn(new)
-        used = np.bincount(number, minlength=len(self.numbers))
-        used[:len(self.seen)] += self.seen
-        self.seen = used
-        length, flat = self.words.take(number)
+        place = coded.indices.to_numpy()
+        used = np.zeros(len(self.words.keys), np.int64)
+        used[:len(self.words.seen)] = self.words.seen
+        used[number] += np.bincount(place, minlength=len(number))
+        self.words.seen = used
+        length, flat = self.words.ids.take(number[place])
         return flat, segment_sums(length.astype(np.int64), counts)
 
 
