@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.llm.texts import n_words
-from cohortloom.session import TooLarge, cut_lineage, local_table
+from cohortloom.session import TooLarge, bounded_broadcast, cut_lineage, local_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -75,29 +75,29 @@ def plan_mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     shift = DRAW_BITS
     while open_ and shift:
         shift -= LEVEL_BITS
-        at = local_table(spark, [(plans[i].source, i, prefix) for i, prefix in open_.items()], "_s string, _i int, _prefix long")
-        inside = sizes.join(F.broadcast(at), F.col("source").eqNullSafe(F.col("_s")))  # as many rows as sources
+        at = local_table(spark, [(plans[i].source, i, prefix, float(budget[i])) for i, prefix in open_.items()], "_s string, _i int, _prefix long, _budget double")
+        inside = sizes.join(bounded_broadcast(at, len(plans)), F.col("source").eqNullSafe(F.col("_s")))
         inside = inside.where(F.shiftright("draw", shift + LEVEL_BITS) == F.col("_prefix"))
-        histogram = (inside.groupBy("_i", F.shiftright("draw", shift).alias("bucket"))
+        histogram = (inside.groupBy("_i", "_budget", F.shiftright("draw", shift).alias("bucket"))
                      .agg(F.sum("size").alias("size"), F.min("draw").alias("low"), F.max("draw").alias("high")))
-        by: dict[int, list] = {i: [] for i in open_}
-        for r in histogram.toLocalIterator():  # at most 4096 rows per source and level
-            by[r["_i"]].append((r["bucket"], int(r["size"]), r["low"], r["high"]))
-        for i, buckets in by.items():
-            for bucket, size, low, high in sorted(buckets):
-                if size <= budget[i]:
-                    budget[i] -= size
-                    plans[i].below = high + 1
-                    continue
-                if low == high:  # one draw is left: take it if that comes nearer to the target
-                    if size - budget[i] <= budget[i]:
-                        plans[i].below = high + 1
-                    open_.pop(i)
-                else:
-                    open_[i] = bucket
-                break
-            else:
-                open_.pop(i)
+        # At most 4096 buckets of a source stand in a row; the first that goes beyond the budget is the boundary.
+        histogram = histogram.withColumn("upto", F.sum("size").over(Window.partitionBy("_i").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+        fits = F.col("upto") <= F.col("_budget")
+        boundary = histogram.groupBy("_i").agg(F.max(F.when(fits, F.col("upto"))).alias("spent"), F.max(F.when(fits, F.col("high"))).alias("last"),
+                                               F.min(F.when(~fits, F.struct("bucket", "size", "low", "high"))).alias("next"))
+        still = {}
+        for r in boundary.toLocalIterator():  # a row per open source
+            i, after = r["_i"], r["next"]
+            if r["last"] is not None:
+                plans[i].below = r["last"] + 1
+                budget[i] -= int(r["spent"])
+            if after is None:
+                continue
+            if after["low"] < after["high"]:
+                still[i] = after["bucket"]
+            elif int(after["size"]) - budget[i] <= budget[i]:  # one draw is left: take it if that comes nearer to the target
+                plans[i].below = after["high"] + 1
+        open_ = still
     return plans
 
 
@@ -122,15 +122,17 @@ def mix_report(documents: DataFrame, **options) -> DataFrame:
     with a null id share a draw and are taken together. An empty table gives no rows. Other columns are ignored.
     """
     sizes = measured(documents)
-    plans = F.broadcast(plan_table(sizes.sparkSession, plan_mix(sizes, **options)))
+    plans = plan_mix(sizes, **options)
+    plans = bounded_broadcast(plan_table(sizes.sparkSession, plans), len(plans))
     return (sizes.join(plans, F.col("source").eqNullSafe(F.col("_source")))
             .select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken")))
 
 
 def mix(documents: DataFrame, **options) -> DataFrame:
-    """The mixed table itself: every document as many times as the mix takes it, with its own columns."""
+    """The mixed table itself: every document as many times as the mix takes it, with its own columns; rows as in ``mix_report``."""
     sizes = measured(documents)
-    plans = F.broadcast(plan_table(sizes.sparkSession, plan_mix(sizes, **options)))
+    plans = plan_mix(sizes, **options)
+    plans = bounded_broadcast(plan_table(sizes.sparkSession, plans), len(plans))
     own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"), draw().alias("draw"), F.col("source").cast("string").alias("_from"))
     taken = own.join(plans, F.col("_from").eqNullSafe(F.col("_source"))).select("_row", F.explode(F.array_repeat(F.lit(1), copies().cast("int"))))
     return taken.select("_row.*")

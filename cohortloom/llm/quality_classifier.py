@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,7 @@ TRAIN_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
 CACHE = 200_000
+FAN = 16
 GATHERED = 1 << 16
 
 
@@ -71,7 +73,10 @@ def word_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_vectors(documents: DataFrame) -> np.ndarray:
-    """The table of word vectors from all documents: tasks sum their part, and chunks of the table are summed by key."""
+    """The table of word vectors from all documents: tasks sum their part, and chunks of the table are summed in a tree.
+
+    Null and empty texts add nothing; repeated rows count each; texts of any length are read whole, slice by slice of documents.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = index_vectors()
@@ -89,19 +94,26 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
                     total += np.bincount(at, weights=sign[near].ravel(), minlength=ROWS * DIMS)  # whole numbers, so exact
         total = total.astype(np.int64)
         chunks = total.reshape(-1, CHUNK * DIMS)
+        task = TaskContext.get().partitionId()
         for i in np.flatnonzero(chunks.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunks[i].tobytes()])], ["chunk", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([chunks[i].tobytes()])], ["chunk", "part", "sums"])
 
     def merge(key: Key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CHUNK * DIMS, np.int64)
         for b in batches:  # streamed: one chunk of one task at a time
             for sums in b.column("sums").to_pylist():
                 total += np.frombuffer(sums, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], ["chunk", "sums"])
-
-    parts = documents.select("text").mapInArrow(gather, "chunk int, sums binary")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([total.tobytes()])], ["chunk", "part", "sums"])
+
+    texts = documents.select("text")
+    parts = texts.mapInArrow(gather, "chunk int, part int, sums binary")
+    # A tree: groups of FAN parts are added up until one is left, so no task reads what all tasks send.
+    many = texts.rdd.getNumPartitions()
+    while many > 1:
+        many = -(-many // FAN)
+        parts = parts.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).groupBy("chunk", "part").applyInArrow(merge, "chunk int, part int, sums binary")
     table = np.zeros((ROWS * DIMS // (CHUNK * DIMS), CHUNK * DIMS), np.float64)
-    for chunk, sums in parts.groupBy("chunk").applyInArrow(merge, "chunk int, sums binary").collect():  # bounded: the table itself
+    for chunk, _, sums in parts.collect():  # bounded: the table itself
         table[chunk] = np.frombuffer(sums, np.int64)
     vectors = table.reshape(ROWS, DIMS)
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -193,7 +205,11 @@ class Classifier:
 
 
 def train(documents: DataFrame, labels: DataFrame, folds: int | None = FOLDS, limit: int = TRAIN_ROWS) -> Classifier:
-    """Word vectors from every document; the network from at most about ``limit`` labelled rows outside the held-out fold."""
+    """Word vectors from every document; the network from at most about ``limit`` labelled rows outside the held-out fold.
+
+    Null texts count as empty; labels without id or quality teach nothing, several labels of one id count as their mean, and copies of a document
+    teach each. Without any label the score is that of an untrained network.
+    """
     vectors = word_vectors(documents)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
