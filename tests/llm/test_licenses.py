@@ -6,7 +6,7 @@ import pytest
 from cohortloom.llm import licenses as L
 from tests.llm.tables import ODD, PROSE, documents, odd_documents
 
-NOTICE = dict(L.TEMPLATES)
+NOTICE = {label: text for label, _, _, text in L.TEMPLATES}
 CASES = ODD + [
     (20, "MIT License mit license. The GNU General Public License and CC BY 4.0", "a"),
     (21, PROSE + " " + NOTICE["mit-text"] + " " + PROSE, "a"),
@@ -46,9 +46,24 @@ def test_places(spark):
     assert got == sorted((str(i), *places(t)) for i, t, _ in CASES)
 
 
-def test_a_template_must_fit_half_a_block(spark):
-    with pytest.raises(ValueError):
-        L.scan(documents(spark, []), templates=(("long", "w " * 40),))
+def labels(spark, texts, **options):
+    rows = L.scan(documents(spark, [(i, t, "a") for i, t in enumerate(texts)]), **options).orderBy("doc_id").collect()
+    return [sorted({m.label for m in r.matches}) for r in rows]
+
+
+def test_variants_exclude_each_other(spark):
+    around = [PROSE + ". {} " + PROSE, "{}", PROSE + " " + PROSE + " {}"]
+    for label in ("cc-by-4", "cc-by-nc-4", "cc-by-sa-4", "cc-by-nc-sa-4", "gpl-2", "gpl-3"):
+        assert labels(spark, [t.format(NOTICE[label]) for t in around]) == [[label]] * 3
+    assert labels(spark, ["released under the apache license version 2 0 licensed", "the gnu general public license this work is licensed under version 3 released"]) == [["apache-2"], ["gpl-3"]]
+
+
+def test_whole_license_texts(spark):
+    long = " ".join(f"clause{i} word{i}" for i in range(170))  # 340 words
+    own = (*L.TEMPLATES, ("long", "long", "clause7", long))
+    cut = long.split()
+    texts = [f"{PROSE} {long} {PROSE}", f"{PROSE} {' '.join(cut[:300])} {PROSE}", f"{PROSE} {' '.join(cut[:260])} {PROSE}", "x " * 333 + NOTICE["mit-text"] + " " + NOTICE["no-warranty"]]
+    assert labels(spark, texts, templates=own) == [["long"], ["long"], [], ["mit-text", "no-warranty"]]
 
 
 def test_no_python_in_the_plan(spark):
