@@ -40,6 +40,11 @@ def p_normal(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else min(1.0, 2 * tails.normal_sf(abs(a))) for a in z], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def p_rank_sum(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(c) else tails.rank_sum_two_sided(int(a), int(b), c) for a, b, c in zip(n1, n2, u)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def p_fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([tails.fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)], dtype="float64")
@@ -85,8 +90,15 @@ def mann_whitney(df: DataFrame, group: str, group1, group2, value: str, by: Sequ
     return rank_test(df.where(col(group).isin(group1, group2)), value, col(group) == group1, by, p_values)
 
 
+SMALL_SAMPLE = 8  # rows of the smaller sample up to which p is exact
+MOST_OUTCOMES = 20_000  # n1 x n2
+
+
 def rank_test(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), p_values: bool = True) -> DataFrame:
-    """Rank-sum test of the rows where ``first`` holds against the others, per ``by``."""
+    """Rank-sum test of the rows where ``first`` holds against the others, per ``by``.
+
+    p is exact for small samples without ties (``SMALL_SAMPLE``), else that of the tie- and continuity-corrected normal.
+    """
     ranked = avg_rank(df, by, value, first)
     sums = ranked.groupBy(*map(col, by)).agg(
         F.sum("hits").alias("n1"), F.sum(F.col("n") - F.col("hits")).alias("n2"), F.sum(F.col("hits") * F.col("avg_rank")).alias("r1"),
@@ -97,8 +109,13 @@ def rank_test(df: DataFrame, value: str, first: Column, by: Sequence[str] = (),
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
     top = F.greatest(u, n1 * n2 - u)
     z = F.try_divide(top - n1 * n2 / 2 - 0.5, sd)
-    out = sums.select(*map(col, by), "n1", "n2", u.alias("u"), z.alias("z"))
-    return out.withColumn("p", p_normal("z")) if p_values else out
+    # Without ties and with a small sample p is counted out, as long as there are few outcomes; else the normal tail.
+    small = (F.col("ties") == 0) & (F.least("n1", "n2").between(1, SMALL_SAMPLE)) & (n1 * n2 <= MOST_OUTCOMES)
+    out = sums.select(*map(col, by), "n1", "n2", u.alias("u"), z.alias("z"), small.alias("_small"))
+    if not p_values:
+        return out.drop("_small")
+    counted = p_rank_sum(F.when(F.col("_small"), F.col("n1")).otherwise(1), F.when(F.col("_small"), F.col("n2")).otherwise(1), F.when(F.col("_small"), F.col("u")))
+    return out.withColumn("p", F.when(F.col("_small"), counted).otherwise(p_normal("z"))).drop("_small")
 
 
 def _group_stats(df: DataFrame, group: str, value: str, by: Sequence[str]) -> DataFrame:

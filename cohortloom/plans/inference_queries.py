@@ -45,6 +45,22 @@ def mann_whitney(t):
     return out.select("measure", "n1", "n2", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"))
 
 
+# Every way to draw the first sample is listed; the share of draws with as small or as large a statistic is the tail.
+@query("mann_whitney_exact", """WITH a AS (SELECT n_regionkey AS region, c_nationkey, avg(c_acctbal) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
+ l AS (SELECT r.region AS other, a.* FROM a, (SELECT unnest(range(1, 5)) AS region) r WHERE a.region IN (0, r.region)),
+ k AS (SELECT other, region = 0 AS own, row_number() OVER (PARTITION BY other ORDER BY value) AS place, count(*) OVER (PARTITION BY other) AS n FROM l),
+ u AS (SELECT other, count(*) FILTER (own) AS n1, count(*) FILTER (NOT own) AS n2, max(n) AS n, sum(place) FILTER (own) - count(*) FILTER (own) * (count(*) FILTER (own) + 1) / 2.0::DOUBLE AS u FROM k GROUP BY other),
+ m AS (SELECT other, n1, n2, u, mask FROM u, (SELECT unnest(range(0, 1024)) AS mask) WHERE mask < power(2, n) AND bit_count(mask::INTEGER) = n1),
+ d AS (SELECT other, n1, n2, u, mask, sum(place) - n1 * (n1 + 1) / 2.0::DOUBLE AS v FROM m JOIN (SELECT unnest(range(1, 11)) AS place) ON (mask >> (place - 1)::INTEGER) & 1 = 1 GROUP BY other, n1, n2, u, mask)
+SELECT other::INTEGER AS other, n1::BIGINT AS n1, n2::BIGINT AS n2, u, round(least(1.0::DOUBLE, 2 * least(count(*) FILTER (v <= u), count(*) FILTER (v >= u)) / count(*)::DOUBLE), 9) AS p FROM d GROUP BY other, n1, n2, u""")
+def mann_whitney_exact(t):
+    """Small samples: mean balances of the nations of one region against those of each other region."""
+    nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    a = t("customer").join(F.broadcast(nation), "c_nationkey").groupBy("region", "c_nationkey").agg(F.avg("c_acctbal").alias("value"))
+    long = a.withColumn("other", F.explode(F.array(*[F.lit(r) for r in range(1, 5)]))).where("region IN (0, other)")
+    return rounded(I.rank_test(long, "value", F.col("region") == 0, ["other"]).drop("z"), 9, "p")
+
+
 _ANOVA_SQL = """g AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY event_type),
  s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) AS sm, sum(n * m * m) AS smm, sum(n * v) AS w FROM g)"""
 

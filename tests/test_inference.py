@@ -169,3 +169,22 @@ def test_chi2_with_empty_cells(spark):
     # 2x2 with two empty cells: all gaps are 35/12, less one half
     gap, margins = 35 / 12 - 0.5, [(7 * 7), (7 * 5), (5 * 7), (5 * 5)]
     assert got["chi2"] == pytest.approx(sum(gap**2 / (m / 12) for m in margins)) and got["dof"] == 1
+
+
+def test_small_rank_sums_equal_enumeration():
+    from itertools import combinations
+
+    for n1 in range(1, 6):
+        for n2 in range(1, 7):
+            us = [sum(c) - n1 * (n1 + 1) // 2 for c in combinations(range(1, n1 + n2 + 1), n1)]
+            for u in range(n1 * n2 + 1):
+                want = min(1.0, 2 * min(sum(v <= u for v in us), sum(v >= u for v in us)) / len(us))
+                assert tails.rank_sum_two_sided(n1, n2, u) == pytest.approx(want, abs=1e-12)
+
+
+def test_ties_and_larger_samples_use_the_normal(spark):
+    rows = [("a", float(i), i % 2 == 0) for i in range(9)] + [("tied", float(i // 2), i % 2 == 0) for i in range(8)] + [("large", float(i * 7 % 40), i % 2 == 0) for i in range(40)]
+    got = {r.g: r for r in inference.rank_test(spark.createDataFrame(rows, "g string, v double, own boolean"), "v", F.col("own"), ["g"]).collect()}
+    assert got["a"].p == pytest.approx(tails.rank_sum_two_sided(5, 4, got["a"].u))
+    for g in ("tied", "large"):
+        assert got[g].p == pytest.approx(min(1.0, 2 * tails.normal_sf(abs(got[g].z))))
