@@ -168,8 +168,8 @@ EDUCATION_RULES = (
 )
 # Registration race codes.
 RACE_CODES = {
-    0: "unknown_not_reported", 1: "white", 2: "black_african_american", 4: "asian",
-    8: "american_indian_alaska_native", 16: "native_hawaiian_pacific_islander", 32: "other", 64: "unknown_not_reported",
+    1: "white", 2: "black_african_american", 4: "asian", 8: "american_indian_alaska_native",
+    16: "native_hawaiian_pacific_islander", 32: "other", 0: "unknown_not_reported", 64: "unknown_not_reported",
 }
 
 

@@ -256,33 +256,29 @@ def sites(spark):
     return site, cov, x, df
 
 
-def reference_sites(x, site, cov, eb, add_back=True):
-    """The method over all rows, one design matrix, one loop per site."""
-    names = sorted(set(site))
-    d = np.column_stack([(site == s).astype(float) for s in names] + ([cov] if cov is not None else []))
-    beta = np.linalg.lstsq(d, x, rcond=None)[0]
-    share = np.array([(site == s).mean() for s in names])
-    grand = share @ beta[: len(names)]
-    pooled = ((x - d @ beta) ** 2).mean(0)
-    mean = grand + (np.outer(cov, beta[-1]) if cov is not None else 0)
-    z = (x - mean) / np.sqrt(pooled)
-    out = np.empty_like(z)
-    for s in names:
-        part = z[site == s]
-        n, g_hat, d_hat = len(part), part.mean(0), part.var(0, ddof=1)
-        g, v = g_hat, d_hat
-        if eb:
-            gb, t2, m, s2 = g_hat.mean(), g_hat.var(), d_hat.mean(), d_hat.var(ddof=1)
-            a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
-            while True:
-                g1 = (t2 * n * g_hat + v * gb) / (t2 * n + v)
-                v1 = (0.5 * ((part - g1) ** 2).sum(0) + b) / (n / 2 + a - 1)
-                change = max((np.abs(g1 - g) / g).max(), (np.abs(v1 - v) / v).max())
-                g, v = g1, v1
-                if change <= 1e-4:
-                    break
-        out[site == s] = (part - g) / np.sqrt(v)
-    return out * np.sqrt(pooled) + (mean if add_back else 0), mean
+def standardised(x, site, cov=None):
+    """Rows without the pooled covariate effect and the weighted site level, in units of the spread within sites."""
+    own = {s: site == s for s in sorted(set(site))}
+    within = np.vstack([x[rows] - x[rows].mean(0) for rows in own.values()])
+    slope = np.zeros(x.shape[1])
+    if cov is not None:
+        c = np.concatenate([cov[rows] - cov[rows].mean() for rows in own.values()])
+        slope = c @ within / (c @ c)
+        within = within - np.outer(c, slope)
+    effect = np.outer(cov, slope) if cov is not None else np.zeros_like(x)
+    centre = (x - effect).mean(0) + effect
+    spread = np.sqrt((within**2).mean(0))
+    return (x - centre) / spread, centre, spread
+
+
+def assert_posterior(z, g, d, hat_g, hat_d):
+    """Location and scale of a site solve the two conditional-mean equations of the normal / inverse-gamma model."""
+    n, tau = len(z), hat_g.var()
+    ratio = hat_d.mean() ** 2 / hat_d.var(ddof=1)
+    shape, rate = ratio + 2, hat_d.mean() * (ratio + 1)
+    weight = n * tau / (n * tau + d)
+    np.testing.assert_allclose(g, weight * hat_g + (1 - weight) * hat_g.mean(), atol=2e-3)
+    np.testing.assert_allclose(d * (shape + n / 2 - 1), rate + ((z - g) ** 2).sum(0) / 2, rtol=2e-3)
 
 
 def values(df):
@@ -295,8 +291,18 @@ def test_site_model(sites, eb, with_cov):
     site, cov, x, df = sites
     names = ["cov"] if with_cov else []
     model = H.fit_sites(H.site_moments(df, "site", "v", names), names, eb)
-    expected, _ = reference_sites(x, site, cov if with_cov else None, eb)
-    np.testing.assert_allclose(values(H.apply_sites(df, model, "site", "v")), expected, rtol=1e-7, atol=1e-7)
+    z, centre, spread = standardised(x, site, cov if with_cov else None)
+    expected = np.empty_like(x)
+    for i, s in enumerate(model.sites):
+        own = z[site == s]
+        g, d = model.gamma[i], model.delta[i]
+        if eb:
+            assert_posterior(own, g, d, own.mean(0), own.var(0, ddof=1))
+        else:
+            np.testing.assert_allclose(g, own.mean(0), atol=1e-9)
+            np.testing.assert_allclose(d, own.var(0, ddof=1))
+        expected[site == s] = (own - g) / np.sqrt(d)
+    np.testing.assert_allclose(values(H.apply_sites(df, model, "site", "v")), expected * spread + centre, rtol=1e-7, atol=1e-7)
 
 
 def test_without_shrinkage_sites_agree(sites):
@@ -322,14 +328,18 @@ def test_covariance_model(sites, with_cov, n_pc):
     site, cov, x, df = sites
     names = ["cov"] if with_cov else []
     model = H.fit_covariance(H.site_moments(df, "site", "v", names), names, explained=0.8, components=n_pc)
-    res, mean = reference_sites(x, site, cov if with_cov else None, True, add_back=False)
+    centre = standardised(x, site, cov if with_cov else None)[1]
+    res = values(H.apply_sites(df, model.sites, "site", "v")) - centre  # test_site_model holds these
     mu, sd = res.mean(0), res.std(0)
-    z = (res - mu) / sd
-    u, s, vt = np.linalg.svd(z, full_matrices=False)
-    k = n_pc or int(np.argmax(np.cumsum(np.round(s**2 / (s**2).sum(), 4)) > 0.8)) + 1
-    scores = z @ vt.T
-    scores[:, :k], _ = reference_sites(scores[:, :k], site, None, False)
-    expected = (scores @ vt) * sd + mu + mean
+    lam, axes = np.linalg.eigh(np.corrcoef(res.T))
+    lam, axes = lam[::-1], axes[:, ::-1]
+    k = n_pc or int(np.argmax(np.cumsum(np.round(lam / lam.sum(), 4)) > 0.8)) + 1
+    scores = ((res - mu) / sd) @ axes
+    z, middle, width = standardised(scores[:, :k], site)
+    for s in set(site):
+        rows = site == s
+        scores[rows, :k] = (z[rows] - z[rows].mean(0)) / z[rows].std(0, ddof=1) * width + middle[rows]
+    expected = (scores @ axes.T) * sd + mu + centre
     assert model.axes.shape[1] == k
     np.testing.assert_allclose(values(H.apply_covariance(df, model, "site", "v")), expected, rtol=1e-6, atol=1e-6)
 
