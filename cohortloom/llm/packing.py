@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.texts import Key, slices
-from cohortloom.llm.tokens import word_tokens
+from cohortloom.llm.tokens import WORDS_KEPT, word_tokens
 from cohortloom.session import cut_lineage
 
 CAPACITY = 4096
@@ -40,13 +40,16 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Packing = list[list[int]]
 
 
-def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Token ids of every whole text and the end id, cut into pieces; a row per piece with a number that spreads rows over shards."""
+def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, words: int = WORDS_KEPT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Token ids of every whole text and the end id, cut into pieces; a row per piece with a number that spreads rows over shards.
+
+    A worker knows the ids of some ``words`` words and looks up about ``slice_bytes`` of text at once: less of both saves memory and costs time.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = TaskContext.get().partitionId() << 40, 0
-        for b, texts in slices(batches, size=SLICE_BYTES):
-            ids, counts = word_tokens(tokenizer).ids(texts)
+        for b, texts in slices(batches, size=slice_bytes):
+            ids, counts = word_tokens(tokenizer, words).ids(texts)
             flat, at = ids.astype("<u4"), 0
             out: list[tuple] = []
             for doc, n in zip(b.column("doc_id").to_pylist(), counts.tolist()):
@@ -242,14 +245,14 @@ def pack_level(rows: DataFrame, shards: int, capacity: int, islands: int, rounds
 
 
 def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, shard: int = SHARD, islands: int = ISLANDS,
-         rounds: int = ROUNDS, levels: int = LEVELS) -> DataFrame:
+         rounds: int = ROUNDS, levels: int = LEVELS, words: int = WORDS_KEPT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. A longer document is cut into pieces of ``capacity`` tokens, the last one shorter.
     Repeated rows and null ids are packed like any others (rows are dealt by their own number). An empty table gives no rows;
     columns other than doc_id and text are not read.
     """
-    rest, done = cut_lineage(pieces(documents, tokenizer, capacity, end_id)), []
+    rest, done = cut_lineage(pieces(documents, tokenizer, capacity, end_id, words, slice_bytes)), []
     for level in range(levels):
         shards = max(1, -(-rest.count() // shard))
         out = cut_lineage(pack_level(rest, shards, capacity, islands, rounds))

@@ -30,7 +30,7 @@ CHUNK = 1024
 TRAIN_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
-CACHE = 200_000
+CACHE = 100_000
 FAN = 16
 GATHERED = 1 << 16
 

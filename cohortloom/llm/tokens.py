@@ -57,15 +57,15 @@ class Known:
         self.keys = pa.concat_arrays([self.keys, new])
         return number, new
 
-    def full(self) -> bool:
-        return len(self.keys) > WORDS_KEPT or self.keys.nbytes > BYTES_KEPT
+    def full(self, most: int) -> bool:
+        return len(self.keys) > most or self.keys.nbytes > BYTES_KEPT
 
-    def without_rare(self) -> Known:
+    def without_rare(self, most: int) -> Known:
         """What was seen more than once since the last time; nothing, if that is more than half."""
         keep = np.flatnonzero(self.seen > 1)
         out = Known()
         keys = self.keys.take(pa.array(keep))
-        if len(keys) <= WORDS_KEPT // 2 and keys.nbytes <= BYTES_KEPT // 2:
+        if len(keys) <= most // 2 and keys.nbytes <= BYTES_KEPT // 2:
             out.keys, out.seen = keys, np.zeros(len(keep), np.int64)
             out.ids.add(*self.ids.take(keep))
         return out
@@ -74,7 +74,7 @@ class Known:
 class WordTokens:
     """Growing store of ids by word. When it is full, words seen once since the last time leave; units all leave."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,7 +82,7 @@ class WordTokens:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.ends[i] = token.endswith("</w>")
-        self.words, self.units = Known(), Known()
+        self.words, self.units, self.most = Known(), Known(), most
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -129,13 +129,13 @@ class WordTokens:
             both[mine], both[~mine] = flat, list(chain.from_iterable(own))
             flat = both
         self.words.ids.add(length, flat)
-        if self.units.full():
+        if self.units.full(self.most):
             self.units = Known()
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and their number per text."""
-        if self.words.full():
-            self.words = self.words.without_rare()
+        if self.words.full(self.most):
+            self.words = self.words.without_rare(self.most)
         lists = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
         real = pc.not_equal(lists.flatten(), "")  # white space at either end of a text gives empty words
         counts = segment_sums(real.to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
@@ -152,11 +152,12 @@ class WordTokens:
         return flat, segment_sums(length.astype(np.int64), counts)
 
 
-_by_path: dict[str, WordTokens] = {}
+_by_path: dict[tuple[str, int], WordTokens] = {}
 
 
-def word_tokens(path: str) -> WordTokens:
-    """One store per worker and file: words repeat from task to task."""
-    if path not in _by_path:
-        _by_path[path] = WordTokens(path)
-    return _by_path[path]
+def word_tokens(path: str, most: int = WORDS_KEPT) -> WordTokens:
+    """One store of about ``most`` words per worker and file: words repeat from task to task."""
+    if (path, most) not in _by_path:
+        _by_path.clear()
+        _by_path[path, most] = WordTokens(path, most)
+    return _by_path[path, most]
