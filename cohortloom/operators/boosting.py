@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from cohortloom.functions.cleaning import col
 from cohortloom.functions.hashing import with_replicate_hashes
 from cohortloom.operators.harmonize import harmonize_split
-from cohortloom.operators.replicates import PLAIN, bootstrap_moments, collected, pieces, weights_of
+from cohortloom.operators.packed import PIECES, collected, pieces
+from cohortloom.operators.replicates import PLAIN, bootstrap_moments, weights_of
 from cohortloom.operators.resample import assign_folds, regression_metrics
 from cohortloom.operators.site_ridge import _fitted
 from cohortloom.operators.trees import SEARCH_SPACE, draw_params
@@ -222,7 +223,7 @@ def _pass(table: DataFrame, coder: Coder, models: Sequence[Model], shape: tuple[
                 add(Batch(whole.slice(at, ROWS), coder, models), total)
         yield from pieces("", total.ravel())
 
-    got = collected(table.mapInArrow(partial, "key string, piece int, numbers binary"), size, 1)
+    got = collected(table.mapInArrow(partial, PIECES), size, 1)
     return got.get("", np.zeros(size)).reshape(shape)
 
 

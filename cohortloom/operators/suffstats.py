@@ -12,16 +12,17 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortloom.functions.cleaning import col
-from cohortloom.session import TooLarge, local_table, small_rows
+from cohortloom.operators.packed import PIECES, collected, pieces, typed_keys
+from cohortloom.session import TooLarge, small_rows
 
 NATIVE_WIDTH = 12
 MAX_NUMBERS = 50_000_000
+ROWS = 4096  # that are multiplied at once
 
 
 @dataclass
@@ -132,7 +133,7 @@ def vector_moments(
     names: Sequence[str] | None = None,
 ) -> Moments:
     """Moments of an array column.  Each task adds up ``X'X`` per key; the partial triangles are summed by a shuffle on
-    (key, position), so no single task or the driver sees rows."""
+    (key, piece), so no single task or the driver sees rows, and the driver gets packed arrays."""
     by = list(by)
     head = [r[0] for r in df.select(col(vector).cast("array<double>")).where(col(vector).isNotNull()).take(200)]
     if not head:
@@ -145,44 +146,35 @@ def vector_moments(
     slim = df.where(col(vector).isNotNull()).select(
         key.alias("_key"), (col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), col(vector).cast("array<double>").alias("_v"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack(batch["_v"].to_numpy()) - shift
-            w = batch["_w"].to_numpy()
-            codes, seen = pd.factorize(batch["_key"])
-            for c, key in enumerate(seen):
-                rows = codes == c
-                xw = x[rows] * w[rows, None]
-                part = (w[rows].sum(), xw.sum(0), x[rows].T @ xw)
-                have = sums.get(key)
-                sums[key] = part if have is None else tuple(a + b for a, b in zip(have, part))
-        for key, (n, s, g) in sums.items():
-            flat = np.concatenate([[n], s, g[upper]])
-            yield pd.DataFrame({"_key": key, "pos": np.arange(len(flat), dtype="int32"), "val": flat})
-
-    long = slim.mapInPandas(partial, "_key string, pos int, val double").groupBy("_key", "pos").agg(F.sum("val").alias("val"))
     size = 1 + p + len(upper[0])
     _guard(1, p)
-    rows = small_rows(long, min(max_keys * size, MAX_NUMBERS), "statistics per key")
-    table: dict[str, np.ndarray] = {}
-    for r in rows:
-        table.setdefault(r["_key"], np.zeros(size))[r["pos"]] = r["val"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                x = b.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - shift
+                w = b.column("_w").to_numpy(zero_copy_only=False)
+                keys = b.column("_key").dictionary_encode()
+                codes = keys.indices.to_numpy()
+                for c, key in enumerate(keys.dictionary.to_pylist()):
+                    rows = codes == c
+                    xw = x[rows] * w[rows, None]
+                    part = np.concatenate([[w[rows].sum()], xw.sum(0), (x[rows].T @ xw)[upper]])
+                    sums[key] = part if key not in sums else sums[key] + part
+        for key, flat in sums.items():
+            yield from pieces(key, flat)
+
+    table = collected(slim.mapInArrow(partial, PIECES), size, min(max_keys, max(1, MAX_NUMBERS // size)))
     table = {k: v for k, v in table.items() if v[0]}  # keys of zero weight have no moments
-    typed = dict.fromkeys(table, ())
-    if by and table:
-        kind = T.StructType([T.StructField(b, df.schema[b].dataType) for b in by])
-        texts = local_table(df.sparkSession, [(k,) for k in table], "_key string")
-        typed = {r["_key"]: tuple(r["_k"]) for r in texts.select("_key", F.from_json("_key", kind).alias("_k")).collect()}
+    typed = typed_keys(df, by, list(table))
     keys = sorted(table, key=lambda k: tuple(map(str, typed[k])))
     flat = np.array([table[k] for k in keys]).reshape(len(keys), size)
     g = np.zeros((len(keys), p, p))
     g[:, upper[0], upper[1]] = flat[:, 1 + p:]
     g[:, upper[1], upper[0]] = flat[:, 1 + p:]
-    typed = [typed[k] for k in keys]
-    return Moments(list(names) if names else [f"d{i}" for i in range(p)], shift, typed, flat[:, 0], flat[:, 1:1 + p], g)
+    return Moments(list(names) if names else [f"d{i}" for i in range(p)], shift, [typed[k] for k in keys], flat[:, 0], flat[:, 1:1 + p], g)
 
 
 def pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
@@ -195,22 +187,19 @@ def pairwise_correlation(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
     _guard(4, p)
     means = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shift = np.array([float(v) if v is not None else 0.0 for v in means])
-    packed = df.select(F.array(*[col(c).cast("double") for c in columns]).alias("_v"))
+    slim = df.select(F.array(*[col(c).cast("double") for c in columns]).alias("_v"))
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((4, p, p))
-        for batch in batches:
-            if len(batch):
-                x = np.array([[np.nan if v is None else v for v in row] for row in batch["_v"]], float) - shift
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                x = whole.column("_v").slice(at, ROWS).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, p) - shift
                 known = np.isfinite(x).astype(float)
                 x = np.where(known > 0, x, 0.0)
                 sums += [known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x]
-        yield pd.DataFrame({"pos": np.arange(sums.size, dtype="int32"), "val": sums.ravel()})
+        yield from pieces("", sums.ravel())
 
-    total = packed.mapInPandas(partial, "pos int, val double").groupBy("pos").agg(F.sum("val").alias("val"))
-    flat = np.zeros(4 * p * p)
-    for r in small_rows(total, 4 * p * p, "sums per pair"):
-        flat[r["pos"]] = r["val"]
+    flat = collected(slim.mapInArrow(partial, PIECES), 4 * p * p, 1).get("", np.zeros(4 * p * p))
     n, s, q, xy = flat.reshape(4, p, p)
     with np.errstate(divide="ignore", invalid="ignore"):
         return (n * xy - s * s.T) / np.sqrt((n * q - s * s) * (n * q.T - s.T * s.T))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cohortloom.functions.hashing import with_replicate_hashes
+from cohortloom.operators import packed
 from cohortloom.operators import replicates as R
 from cohortloom.operators import site_ridge as S
 from cohortloom.operators.harmonize import fit_sites
@@ -48,16 +49,12 @@ def test_one_scan_equals_unfolded_rows(spark):
             assert np.allclose(part.mean, mean) and np.allclose(part.scatter, (x - mean).T @ (w[:, None] * (x - mean)))
 
 
-def test_no_rows_are_unfolded(spark):
+def test_no_rows_are_unfolded(spark, monkeypatch):
     """The replicates' statistics have one shuffle of packed sums and no generated rows."""
     df = cohort(spark, gaps=False)
     seen = []
-    original = R.add_up
-    R.add_up = lambda parts: seen.append(parts) or original(parts)
-    try:
-        R.bootstrap_means(df, "id", ["a"], 20)
-    finally:
-        R.add_up = original
+    monkeypatch.setattr(R, "collected", lambda parts, *a: seen.append(parts) or packed.collected(parts, *a))
+    R.bootstrap_means(df, "id", ["a"], 20)
     plan = seen[0]._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Exchange" not in plan
 
