@@ -147,3 +147,44 @@ def test_nested_cross_validation(spark, tmp_path):
     assert (one.ci_low, one.ci_high) == pytest.approx(tuple(np.percentile(scores, [2.5, 97.5])))
     kept = spark.read.parquet(f"{tmp_path}/runs").first()
     assert kept.target == "y" and kept.ci_low == one.ci_low and kept.best_params.keys() == space.keys()
+
+
+def repeated(spark, n=600):
+    """Rows that share few sets of features."""
+    r = np.random.default_rng(4)
+    rows = [(i, f"s{i % 3}", i % 4, float(r.integers(0, 4)), None if r.random() < 0.1 else float(r.integers(0, 2)), 1.0, float(r.normal()) + 50) for i in range(n)]
+    rows = [(*row[:6], row[6] + 2 * row[3] * (row[4] or 0.0)) for row in rows]
+    return spark.createDataFrame(rows, "id long, site string, fold int, a double, b double, c double, y double")
+
+
+@pytest.mark.parametrize("site", [None, "site"])
+def test_cells_equal_rows(spark, monkeypatch, site):
+    df = repeated(spark)
+    params = {"n_estimators": 5, "max_depth": 2, "eta": 0.4, "subsample": 0.7}
+    both = []
+    for repeats in (B.REPEATS, 10**9):
+        monkeypatch.setattr(B, "REPEATS", repeats)
+        for keep, weightings, numbers in [(16, 256, 10**6), (2, 4, 50)] if repeats < 10**9 else [(16, 256, 10**6)]:
+            monkeypatch.setattr(B, "KEEP", keep)
+            monkeypatch.setattr(B, "WEIGHTINGS", weightings)
+            monkeypatch.setattr(B, "CELL_NUMBERS", numbers)
+            r2, shares = B.gbt_bootstrap(df, "id", X, "y", "fold", params, 3, site=site)
+            both.append(([r.r2 for r in r2.orderBy("rep").collect()], [r.mean_importance for r in shares.orderBy("feature").collect()]))
+    assert B.bin_rows(df, "id", X, "y", "fold").repeats is False  # the bound is out of reach now
+    for got in both[:2]:
+        assert np.allclose(got[0], both[2][0]) and np.allclose(got[1], both[2][1])
+
+
+def test_passes_read_cells(spark):
+    """The passes of a search read as many cells for a hundred times the rows."""
+    df = repeated(spark, 400)
+    more = df.selectExpr("*", "explode(sequence(0, 9)) AS copy").selectExpr("id + 1000000 * copy AS id", *df.columns[1:])
+    sizes = []
+    for d in (df, more):
+        binned = B.bin_rows(d, "id", X, "y", "fold", 7)
+        assert binned.repeats
+        table = B.cells(binned, [(R.PLAIN, 1.0, 0, B.NOBODY)], 50.0)
+        sizes.append(table.count())
+        sums = np.array([np.frombuffer(r.sums) for r in table.collect()]).sum(axis=0)
+        assert sums[0] == d.count() == sums[3] and sums[4] == pytest.approx(d.groupBy().sum("y").first()[0])
+    assert sizes[0] == sizes[1] <= 4 * 4 * 3
