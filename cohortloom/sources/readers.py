@@ -40,11 +40,21 @@ def read_many(
 
 
 def read_keyed(spark: SparkSession, path: str, key_regex: str, fmt: str = "parquet", key: str = "file_key") -> DataFrame:
-    """All files of a folder as one frame with a key taken from each row's file name; columns are merged by name."""
+    """All files of a folder as one frame with a key taken from each row's file name; columns are merged by name.
+
+    What ``path`` matches may be a folder of part files too: then the first name from there down to the file that the key is found in counts. For a path without
+    wildcards the file's own name comes first. Without any key it is the file name.
+    """
     df = spark.read.format(fmt).option("mergeSchema", "true").load(path)
-    name = F.col("_metadata.file_name")
-    found = F.regexp_extract(name, key_regex, 1)
-    return df.select("*", F.when(found != "", found).otherwise(name).alias(key))
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm_path)
+    inner = F.regexp_replace("_metadata.file_path", r"^\w[\w+.-]*:(//[^/]*)?/", "")  # without scheme and authority
+    names = F.transform(F.split(inner, "/"), lambda n: F.url_decode(F.replace(n, F.lit("+"), F.lit("%2B"))))
+    names = F.slice(names, whole.depth(), F.size(names))
+    if not re.search(r"[*?\[{]", whole.getName()):
+        names = F.reverse(names)
+    found = F.filter(F.transform(names, lambda n: F.regexp_extract(n, key_regex, 1)), lambda k: k != "")
+    return df.select("*", F.coalesce(F.get(found, F.lit(0)), F.col("_metadata.file_name")).alias(key))
 
 
 # The words of a model run log.

@@ -116,6 +116,21 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sorted(r["r2_test"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [-0.2, 0.1]
 
 
+def test_keyed_files_of_several_parts(spark, tmp_path):
+    """A table in one file, and one as a folder of part files; names need decoding."""
+    from cohortloom.sources.readers import read_keyed
+
+    one = spark.createDataFrame([(i,) for i in range(6)], "a long")
+    one.repartition(3).write.parquet(f"{tmp_path}/in it/many.parquet")
+    pandas = one.limit(2).toPandas()
+    pandas.to_parquet(f"{tmp_path}/in it/single.parquet")
+    pandas.to_parquet(f"{tmp_path}/in it/a+b.parquet")
+    counts = lambda path, regex: {r.file_key: r["count"] for r in read_keyed(spark, path, regex).groupBy("file_key").count().collect()}
+    assert counts(f"{tmp_path}/in it/*.parquet", r"^(\w+)\.parquet$") == {"many": 6, "single": 2, "a+b.parquet": 2}
+    assert counts(f"{tmp_path}/in it/many.parquet", r"^(\w+)\.parquet$") == {"many": 6}
+    assert counts(f"{tmp_path}/in it/single.parquet", r"^(\w+)") == {"single": 2}
+
+
 def test_run_log(spark, tmp_path):
     block = """Run Date and Time: 2025-01-01 00:00:00
 {d}
