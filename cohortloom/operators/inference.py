@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,12 +15,16 @@ from pyspark.sql import Window as W
 
 from cohortloom.functions import tails
 from cohortloom.functions.cleaning import col
-from cohortloom.functions.hashing import REPLICATE_PRIME, replicate_number, with_replicate_hashes
+from cohortloom.functions.hashing import REPLICATE_PRIME, with_replicate_hashes
 from cohortloom.operators.align import pairs_of_groups
+from cohortloom.operators.packed import PIECES, collected, pieces
 from cohortloom.operators.ranks import avg_rank
 from cohortloom.operators.suffstats import Moments
 from cohortloom.session import cut_lineage, local_table
 
+PERMUTED = 1000  # replicates of one scan
+PERMUTED_ROWS = 200_000  # of a task, each of which costs work for every replicate
+SLICE_BITS = 10
 
 @F.pandas_udf(T.DoubleType())
 def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
@@ -94,12 +100,12 @@ SMALL_SAMPLE = 8  # rows of the smaller sample up to which p is exact
 MOST_OUTCOMES = 20_000  # n1 x n2
 
 
-def rank_test(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), p_values: bool = True) -> DataFrame:
-    """Rank-sum test of the rows where ``first`` holds against the others, per ``by``.
+def rank_test(df: DataFrame, value: str, first: Column, by: Sequence[str] = (), p_values: bool = True, copies: str | None = None) -> DataFrame:
+    """Rank-sum test of the rows where ``first`` holds against the others, per ``by``; with ``copies`` a row stands for so many.
 
     p is exact for small samples without ties (``SMALL_SAMPLE``), else that of the tie- and continuity-corrected normal.
     """
-    ranked = avg_rank(df, by, value, first)
+    ranked = avg_rank(df, by, value, first, copies)
     sums = ranked.groupBy(*map(col, by)).agg(
         F.sum("hits").alias("n1"), F.sum(F.col("n") - F.col("hits")).alias("n2"), F.sum(F.col("hits") * F.col("avg_rank")).alias("r1"),
         F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
@@ -213,8 +219,8 @@ def permuted_auc(df: DataFrame, key: str, score: str, label: str, replicates: in
     """AUC after shuffling the labels, one row per replicate ``(rep, auc)``.
 
     Shuffling labels means drawing the positives anew: in each replicate the n1 rows with the smallest random numbers
-    are the positives.  Scores are ranked once and keys are hashed once.  Slices of the numbers below the cut are summed
-    with map-side combining; only the one slice that holds the cut is sorted, so a replicate is never sorted as a whole.
+    are the positives.  Scores are ranked once and keys are hashed once.  One scan counts and sums the ranks by slices of the
+    numbers, for many replicates together and without copies of rows; only the one slice of a replicate that holds the cut is sorted.
     """
     pool = cut_lineage(df.where(col(score).isNotNull() & col(label).isNotNull()).select(
         col(key).alias("_key"), col(score).alias("value"), col(label).alias("_label")))
@@ -222,23 +228,59 @@ def permuted_auc(df: DataFrame, key: str, score: str, label: str, replicates: in
     sizes = pool.agg(F.count_if(F.col("_label") == 1).alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = int(sizes["n1"]), int(sizes["n"])
     rows = cut_lineage(with_replicate_hashes(pool.join(ranks, "value"), "_key", seed).select("_key", "avg_rank", "_h1", "_h2"))
-    # Slices hold some dozens of rows at least, so that summing them on the map side pays, and 4096 slices at most.
-    width = -(-REPLICATE_PRIME // 2 ** min(12, max(2, (n // 64).bit_length())))
-    number = replicate_number("rep")
-    draws = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select(
-        "_key", "avg_rank", "rep", number.alias("_order"), F.floor(number / F.lit(width)).alias("slice"))
-    slices = draws.groupBy("rep", "slice").agg(F.count(F.lit(1)).alias("m"), F.sum("avg_rank").alias("ranks"))
-    # At most 4096 rows per replicate.
-    so_far = F.sum("m").over(W.partitionBy("rep").orderBy("slice"))
-    placed = slices.withColumn("upto", so_far).withColumn("from", F.col("upto") - F.col("m"))
-    whole = placed.where(F.col("upto") <= n1).select("rep", "ranks")
-    cut = placed.where((F.col("upto") > n1) & (F.col("from") < n1)).select("rep", "slice", (F.lit(n1) - F.col("from")).alias("need"))
-    inside = draws.join(F.broadcast(cut), ["rep", "slice"])  # one row per replicate
-    picked = inside.withColumn("_i", F.row_number().over(W.partitionBy("rep", "slice").orderBy("_order", "_key"))).where(F.col("_i") <= F.col("need"))
-    totals = whole.unionByName(picked.select("rep", F.col("avg_rank").alias("ranks"))).groupBy("rep").agg(F.sum("ranks").alias("r"))
+    if not n1:
+        return local_table(df.sparkSession, [], "rep int, auc double")
+    # Every row costs work for every replicate, so rows are dealt by their number and not by their bytes.
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // PERMUTED_ROWS)))
+    totals = reduce(DataFrame.unionByName, [_drawn_ranks(rows, a, min(PERMUTED, replicates - a), n1, n) for a in range(0, replicates, PERMUTED)])
     return totals.select("rep", ((F.col("r") - n1 * (n1 + 1) / 2) / (float(n1) * (n - n1))).alias("auc"))
 
 
+def _drawn_ranks(rows: DataFrame, first: int, many: int, n1: int, n: int) -> DataFrame:
+    """(rep, r): in each of ``many`` replicates the sum of the ranks of the ``n1`` rows with the smallest numbers."""
+    # Slices hold some dozens of rows at least; slice 0 is for keys without hashes.
+    width = -(-REPLICATE_PRIME // 2 ** min(SLICE_BITS, max(2, (n // 64).bit_length())))
+    slices = REPLICATE_PRIME // width + 2
+
+    def numbers(b: pa.RecordBatch):
+        h1, h2 = (b.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("_h1", "_h2"))
+        for i in range(many):
+            yield i, np.where(h1 < 0, -1, (h1 + h2 * (first + i)) % REPLICATE_PRIME)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((many, 2, slices))
+        for b in batches:
+            rank = b.column("avg_rank").to_numpy()
+            for i, number in numbers(b):
+                at = number // width + 1
+                total[i, 0] += np.bincount(at, minlength=slices)
+                total[i, 1] += np.bincount(at, rank, slices)
+        yield from pieces("", total.ravel())
+
+    size = many * 2 * slices
+    total = collected(rows.select("avg_rank", "_h1", "_h2").mapInArrow(partial, PIECES), size, 1).get("", np.zeros(size)).reshape(many, 2, slices)
+    upto = np.cumsum(total[:, 0], axis=1)
+    taken = upto <= n1
+    below = [(first + i, float(total[i, 1][taken[i]].sum())) for i in range(many)]
+    cut = np.minimum(taken.sum(axis=1), slices - 1)
+    need = n1 - np.where(cut > 0, upto[np.arange(many), cut - 1], 0)
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, number in numbers(b):
+                at = np.flatnonzero((number >= (cut[i] - 1) * width) & (number < cut[i] * width))
+                if need[i] > 0 and len(at):
+                    own = b.take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first + i, np.int32)), pa.array(number[at]), own.column("_key"), own.column("avg_rank")],
+                                                     ["rep", "_order", "_key", "avg_rank"])
+
+    spark, kind = rows.sparkSession, rows.schema["_key"].dataType.simpleString()
+    wanted = local_table(spark, [(first + i, int(need[i])) for i in range(many)], "rep int, need long")
+    crowd = rows.mapInArrow(inside, f"rep int, _order long, _key {kind}, avg_rank double").join(F.broadcast(wanted), "rep")
+    picked = crowd.withColumn("_i", F.row_number().over(W.partitionBy("rep").orderBy("_order", "_key"))).where(F.col("_i") <= F.col("need"))
+    return local_table(spark, below, "rep int, ranks double").unionByName(picked.select("rep", F.col("avg_rank").alias("ranks"))).groupBy("rep").agg(F.sum("ranks").alias("r"))
+
+
 def permutation_test(df: DataFrame, key: str, score: str, label: str, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Observed AUC and p = (number of shuffles at least as good + 1) / (replicates + 1)."""
     observed = auc(df, score, label).select(F.col("auc").alias("observed"))

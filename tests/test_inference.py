@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.functions import tails
+from cohortloom.functions.hashing import REPLICATE_PRIME, with_replicate_hashes
 from cohortloom.operators import cluster, inference
 from cohortloom.operators.suffstats import moments
 
@@ -188,3 +189,42 @@ def test_ties_and_larger_samples_use_the_normal(spark):
     assert got["a"].p == pytest.approx(tails.rank_sum_two_sided(5, 4, got["a"].u))
     for g in ("tied", "large"):
         assert got[g].p == pytest.approx(min(1.0, 2 * tails.normal_sf(abs(got[g].z))))
+
+
+def test_permutations_copy_no_rows_and_equal_brute_force(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    rows = [(i, float(r.integers(0, 40)), int(r.random() < 0.3)) for i in range(700)]
+    rows += [rows[3], rows[3], (900, None, 1), (901, 1.0, None)]  # repeated keys, missing values
+    df = spark.createDataFrame(rows, "id long, s double, y int")
+    known = df.where("s IS NOT NULL AND y IS NOT NULL").withColumn("id", F.col("id"))
+    table = with_replicate_hashes(known, "id", 42).toPandas()
+    ranks, n1, n = table["s"].rank().to_numpy(), int(table["y"].sum()), len(table)
+    want = []
+    for rep in range(7):
+        order = np.lexsort((table["id"], (table["_h1"] + rep * table["_h2"]) % REPLICATE_PRIME))
+        want.append((ranks[order[:n1]].sum() - n1 * (n1 + 1) / 2) / (n1 * (n - n1)))
+    for bound, bits in ((1000, 10), (3, 2)):
+        monkeypatch.setattr(inference, "PERMUTED", bound)
+        monkeypatch.setattr(inference, "SLICE_BITS", bits)
+        out = inference.permuted_auc(df, "id", "s", "y", 7)
+        assert np.allclose([x.auc for x in out.orderBy("rep").collect()], want)
+        assert "Explode" not in out._jdf.queryExecution().toString() and "Generate" not in out._jdf.queryExecution().toString()
+    assert inference.permuted_auc(df.where("y = 0"), "id", "s", "y", 7).count() == 0
+
+
+def test_pairs_of_groups_count_equal_values_first(spark):
+    """Each pair equals its own test; rows are counted by value before the pairs copy them."""
+    r = np.random.default_rng(6)
+    rows = [("ABCD"[int(r.integers(0, 4))], float(r.integers(0, 9)), None if i % 11 == 0 else float(r.normal())) for i in range(300)] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    out = cluster.pairwise_mann_whitney(df, "g", ["A", "B", "C"], ["a", "b"])
+    got = {(x.measure, x.group1, x.group2): (x.n1, x.n2, x.u, x.z, x.p) for x in out.collect()}
+    want = {}
+    for m in "ab":
+        for a, b in (("A", "B"), ("A", "C"), ("B", "C")):
+            x = inference.mann_whitney(df, "g", a, b, m).first()
+            want[m, a, b] = (x.n1, x.n2, x.u, x.z, x.p)
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    plain = inference.rank_test(df.where("g IN ('A', 'B')"), "a", F.col("g") == "A").first()
+    twice = df.where("g IN ('A', 'B')").groupBy("g", "a").agg(F.count("*").alias("k"))
+    assert inference.rank_test(twice, "a", F.col("g") == "A", copies="k").first() == plain and twice.count() <= 18
