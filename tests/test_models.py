@@ -482,3 +482,46 @@ def test_pairwise_correlation(spark):
         for j in range(14):
             both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
             assert r[i, j] == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1])
+
+
+def test_trees_fit_sets_of_features_like_rows(spark):
+    """Fits and searches read two rows per set of features, and give what all rows give."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    r = np.random.default_rng(9)
+    rows = [(i, float(r.integers(0, 40)), float(r.integers(0, 3)), float(r.normal())) for i in range(1500)]
+    df = spark.createDataFrame([(i, a, b, float(3 * b + np.sin(a / 6) * 5 + e)) for i, a, b, e in rows] + [(2000, 1.0, 1.0, None)], "id long, a double, b double, y double")
+    known, params = df.where("y IS NOT NULL"), {"n_estimators": 4, "max_depth": 3, "eta": 0.4}
+    plain = GBTRegressor(featuresCol="_features", labelCol="y", seed=42, **trees.spark_params(params))
+    want = plain.fit(trees.assemble(known, ["a", "b"]))
+    got = trees.gbt_fit(df, ["a", "b"], "y", params)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    one, two = ({x.id: x.prediction for x in trees.gbt_predict(m, known, ["a", "b"]).collect()} for m in (got, want))
+    assert one.keys() == two.keys() and np.allclose([one[k] for k in two], list(two.values()))
+    sums = trees.alike(known, ["a", "b"], "y")
+    assert sums.count() <= 2 * 120
+    back = sums.selectExpr("sum(_weight) n", "sum(_weight * y) s", "sum(_weight * y * y) q").first()
+    assert np.allclose(back, known.selectExpr("count(*)", "sum(y)", "sum(y * y)").first())
+
+    space = {"n_estimators": (2, 3, "int"), "max_depth": (2, 3, "int"), "eta": (0.2, 0.5, "real")}
+    _, trials = trees.search(df, "id", ["a", "b"], "y", space, n_iter=2, cv=2, seed=3)
+    folded = trees.assemble(resample.assign_folds(known, "id", 2, "search:3", "_cv"), ["a", "b"])
+    for x, draw in zip(trials.orderBy("trial").collect(), trees.draw_params(space, 2, 3)):
+        model = GBTRegressor(featuresCol="_features", labelCol="y", seed=3, **trees.spark_params(draw))
+        scores = [RegressionEvaluator(labelCol="y", metricName="r2").evaluate(model.fit(folded.where(F.col("_cv") != f)).transform(folded.where(F.col("_cv") == f))) for f in range(2)]
+        assert x.r2 == pytest.approx(np.mean(scores), abs=1e-9)
+    assert trees.counts_rows({"subsample": 0.5}) and trees.counts_rows({"min_child_weight": 2}) and not trees.counts_rows(params)
+
+
+def test_models_read_many_rows_in_bounded_tasks(spark, monkeypatch):
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "CAST(id % 2 * 50 + id / 100 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b")
+    monkeypatch.setattr(C, "FEW_ROWS", 100)
+    monkeypatch.setattr(C, "TASK_ROWS", 30)
+    x = C._dealt(C._vectors(df, ["a", "b"], True))
+    assert x.rdd.getNumPartitions() == 14 and x.columns == ["_x"]
+    labelled, scores = C.kmeans_search(df, ["a"], [2])
+    assert {(r.id % 2, r.cluster) for r in labelled.collect()} == {(0, "0"), (1, "1")} and labelled.columns == ["id", "a", "b", "cluster"]
+    assert C.gmm_search(df, ["a"], [2])[0].groupBy("cluster").count().count() == 2
+    monkeypatch.setattr(trees, "TASK_ROWS", 30)
+    assert trees.spread_rows(df).rdd.getNumPartitions() == 14
