@@ -23,7 +23,11 @@ from cohortloom.operators.ranks import exact_median, fdr_bh
 from cohortloom.operators.rows import complete_cases, stack
 from cohortloom.operators.scaling import fit_scale
 from cohortloom.operators.suffstats import moments
-from cohortloom.session import local_table
+from cohortloom.session import cut_lineage, local_table
+
+
+FEW_ROWS = 50_000
+TASK_ROWS = 500_000  # with their vectors some tens of megabytes
 
 
 def _vectors(df: DataFrame, features: Sequence[str], scale: bool) -> DataFrame:
@@ -40,12 +44,20 @@ def relabel(df: DataFrame, label: str, order: Sequence[int]) -> DataFrame:
     return df.withColumn(label, F.element_at(names, col(label).cast("int") + 1))
 
 
+def _dealt(x: DataFrame) -> DataFrame:
+    """Many rows in tasks of bounded size, and no fewer tasks than cores: the models read them up to a hundred times."""
+    n = x.count()
+    cores = x.sparkSession.sparkContext.defaultParallelism
+    return x if n <= FEW_ROWS else x.select("_x").repartition(max(cores, -(-n // TASK_ROWS)))
+
+
 def kmeans_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5, 6), seed: int = 42, scale: bool = True) -> tuple[DataFrame, DataFrame]:
     """k with the best silhouette (squared Euclidean); returns rows with ``cluster`` and the score per k.
 
     Labels are ordered by the first coordinate of the centres, so they are stable from run to run.
     """
-    x = _vectors(df, features, scale).persist()
+    rows = _vectors(df, features, scale)
+    x = _dealt(rows).persist()
     judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_c", metricName="silhouette", distanceMeasure="squaredEuclidean")
     tried, best = [], None
     for k in ks:
@@ -56,7 +68,7 @@ def kmeans_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2
             best = (score, model)
     x.unpersist()
     order = np.argsort([tuple(c)[0] for c in best[1].clusterCenters()], kind="stable")
-    labelled = relabel(best[1].transform(x).withColumnRenamed("_c", "cluster"), "cluster", list(order)).drop("_x")
+    labelled = relabel(best[1].transform(rows).withColumnRenamed("_c", "cluster"), "cluster", list(order)).drop("_x")
     return labelled, local_table(df.sparkSession, tried, "k int, silhouette double")
 
 
@@ -68,7 +80,8 @@ def gmm_bic(log_likelihood: float, k: int, d: int, n: int) -> float:
 def gmm_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3, 4, 5), seed: int = 42, scale: bool = True,
                criterion: str = "bic") -> tuple[DataFrame, DataFrame]:
     """Full-covariance mixture with the lowest BIC (or best silhouette): hard labels and membership probabilities."""
-    x = _vectors(df, features, scale).persist()
+    rows = _vectors(df, features, scale)
+    x = _dealt(rows).persist()
     n = x.count()
     judge = ClusteringEvaluator(featuresCol="_x", predictionCol="_c", metricName="silhouette", distanceMeasure="squaredEuclidean")
     tried, best = [], None
@@ -86,7 +99,7 @@ def gmm_search(df: DataFrame, features: Sequence[str], ks: Sequence[int] = (2, 3
     first = [float(g.mean[0]) for g in model.gaussians]
     order = list(np.argsort(first, kind="stable"))
     p = vector_to_array("_p")
-    out = model.transform(x).withColumnRenamed("_c", "cluster")
+    out = model.transform(rows).withColumnRenamed("_c", "cluster")
     out = out.withColumn("probabilities", F.array(*[p[int(i)] for i in order])).drop("_x", "_p")
     return relabel(out, "cluster", order), local_table(df.sparkSession, tried, f"k int, {criterion} double")
 
@@ -120,10 +133,12 @@ def cluster_vs_reference(clustered: DataFrame, reference: DataFrame, measures: S
 def pairwise_mann_whitney(df: DataFrame, group: str, labels: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Every pair of groups on every measure, with adjusted p-values over all of them; one ranking pass serves all pairs."""
     pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1:]]
-    mine = F.array_compact(F.array(*[F.when(col(group).isin(a, b), F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2"))) for a, b in pairs]))
-    long = df.select(col(group).alias("_group"), *map(col, measures), F.explode(mine).alias("_pair")).select("_group", "_pair.*", *map(col, measures))
-    rows = long.unpivot(["_group", "group1", "group2"], list(measures), "measure", "value")
-    tests = rank_test(rows, "value", F.col("_group") == F.col("group1"), ["measure", "group1", "group2"])
+    mine = F.array_compact(F.array(*[F.when(F.col("_group").isin(a, b), F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2"))) for a, b in pairs]))
+    # Equal values are counted before the pairs copy them.
+    long = df.where(col(group).isin(list(labels))).select(col(group).alias("_group"), *map(col, measures)).unpivot(["_group"], list(measures), "measure", "value")
+    counts = cut_lineage(long.where("value IS NOT NULL").groupBy("_group", "measure", "value").agg(F.count(F.lit(1)).alias("_copies")))
+    rows = counts.select("*", F.explode(mine).alias("_pair")).select("_group", "_pair.*", "measure", "value", "_copies")
+    tests = rank_test(rows, "value", F.col("_group") == F.col("group1"), ["measure", "group1", "group2"], copies="_copies")
     return fdr_bh(tests, "p", out="p_corrected")
 
 
