@@ -1,7 +1,8 @@
 """Near copies by word shingles: an exact set-similarity join of whole texts.
 
-Two texts link if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``. Fingerprints give no radius
-that is sure to reach every such pair, so pairs are found by prefixes: in one order of all shingles, a set of s shingles and any set
+Two texts link if the Jaccard similarity of their sets of ``width``-word shingles reaches ``similarity``. Fingerprints and their pivot tables
+(``simhash``) come first: texts whose fingerprints they link are compared and, if they are similar, are one group from then on. They give no radius
+that is sure to reach every pair, so the others are found by prefixes: in one order of all shingles, a set of s shingles and any set
 that links with it share one of the first s - ceil(similarity s) + 1 of each. The order puts frequent shingles last and the others by
 hash; it decides how many pairs are compared, never which pairs link. Which are frequent comes from a sample and then, exactly, from
 the prefixes themselves: keys that many nodes meet by are moved back, and the prefixes are taken once more. Equal sets are one node.
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.simhash import SEED, connected
+from cohortloom.llm.simhash import SEED, connected, fingerprints_of, links
 from cohortloom.llm.texts import Key, give_back, slices, split_words
 from cohortloom.session import bounded_broadcast, cut_lineage
 
@@ -69,9 +70,9 @@ def prefix(codes: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity
 
 
 def measured(documents: DataFrame, width: int = WIDTH) -> DataFrame:
-    """All columns (as _0, _1, ...), the text's set as ``node``, a number of the row and the text's bytes."""
+    """All columns (as _0, _1, ...), the text's set as ``node``, its fingerprint, a number of the row and the text's bytes."""
     fields = documents.schema.fields
-    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "node long", "row long", "bytes long"])
+    schema = ", ".join([*(f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "node long", "fp long", "row long", "bytes long"])
     text = f"_{documents.columns.index('text')}"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,9 @@ def measured(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         for b, texts in slices(batches, text):
             names = np.array([name_of(shingle_set(w, width)) for w in split_words(texts, lower=True)[0]], np.uint64)
             size = np.fromiter(map(len, texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), pa.array(np.arange(at, at + len(texts))), pa.array(size)], [*b.schema.names, "node", "row", "bytes"])
+            prints = fingerprints_of(texts).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names.view(np.int64)), pa.array(prints), pa.array(np.arange(at, at + len(texts))), pa.array(size)],
+                                             [*b.schema.names, "node", "fp", "row", "bytes"])
             at += len(texts)
 
     return documents.select(*[F.col(f"`{f.name}`").alias(f"_{i}") for i, f in enumerate(fields)]).mapInArrow(measure, schema)
@@ -235,9 +238,20 @@ def meetings(met: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dealt, right
 
 
-def components(shared: DataFrame, texts: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, pairs_per_entry: int = PAIRS) -> DataFrame:
-    """(node, root) of every node with a link; ``shared`` has the keys that nodes meet by."""
-    edges, group = None, None
+def linked_prints(prints: DataFrame, texts: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (a, b) of similar nodes whose fingerprints (node, fp) are equal or linked: one pair per node and per link of a star."""
+    lead = cut_lineage(prints.groupBy("fp").agg(F.min("node").alias("lead")))
+    stars = links(lead.select("fp"), lead.count()).distinct()
+    alike = prints.join(lead, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    far = stars.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("one")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("two")), "b")
+    pairs = alike.union(far.select("one", "two")).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return verified(pairs, texts, first, width, similarity)
+
+
+def components(shared: DataFrame, texts: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, pairs_per_entry: int = PAIRS, found: DataFrame | None = None) -> DataFrame:
+    """(node, root) of every node with a link; ``shared`` has the keys that nodes meet by, ``found`` pairs that link already."""
+    edges = None if found is None else cut_lineage(found)
+    group = None if edges is None else connected(edges)
     for turn in range(STAR_ROUNDS + 1):
         met = shared.withColumn("root", F.col("node")) if group is None else shared.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
         counts = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
@@ -280,7 +294,9 @@ def drop_near_copies(documents: DataFrame, width: int = WIDTH, similarity: float
     shared = cut_lineage(shared_keys(texts, (size["chars"] or 0) // 30, frequent, rank, width, similarity))
     frequent, rank = with_crowded(shared, frequent, rank, min(1.0, SAMPLE / max(size["n"], 1)))
     shared = cut_lineage(shared_keys(texts, (size["chars"] or 0) // 30, frequent, rank, width, similarity))
-    group = components(shared, texts, first, width, similarity, pairs_per_entry)
+    prints = stored.select("node", "fp").distinct()  # sets forget repeats and order, so one may have several
+    found = linked_prints(prints, texts, first, width, similarity)
+    group = components(shared, texts, first, width, similarity, pairs_per_entry, found)
     named = first.join(group, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     keep = named.groupBy("root").agg(F.min("first").alias("first")).select("first.row")
     return stored.join(keep, "row", "left_semi").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])

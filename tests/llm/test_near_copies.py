@@ -109,3 +109,18 @@ def test_odd_rows(spark):
 def test_empty(spark):
     assert N.drop_near_copies(documents(spark, [])).count() == 0
     assert N.drop_near_copies(documents(spark, [(None, None, None)] * 3)).count() == 1
+
+
+def test_fingerprints_link_first(spark, monkeypatch):
+    """The stage links by fingerprints and their pivot tables, and only similar texts; the prefixes find the rest."""
+    rows = near_copies(bases=12)
+    far = " ".join(f"w{i}" for i in range(300))
+    rows += [(1001, far, "a"), (1002, far + " more", "a"), (1003, far.upper() + " other", "a")]
+    met = []
+    whole = N.linked_prints
+    monkeypatch.setattr(N, "linked_prints", lambda *args: met.append(whole(*args).collect()) or whole(*args))
+    got = sorted(r.doc_id for r in C.near_duplicates_stage(spark, documents(spark, rows), "").collect())
+    assert got == kept(rows) and 1001 in got and not {1002, 1003} & set(got)
+    own = {N.name_of(N.shingle_set((t or "").lower().encode().split())): shingles(t) for _, t, _ in rows}
+    names = {np.uint64(k).view(np.int64).item(): v for k, v in own.items()}
+    assert met[0] and all(linked(names[a], names[b]) and names[a] != names[b] for a, b in met[0])
