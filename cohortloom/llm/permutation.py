@@ -8,6 +8,8 @@ their true distance.
 How many files a query opens and the radius are fitted on the sample, where the true neighbours are known: both are the quantile
 ``recall`` over neighbours in the sample. Neighbours in the whole table are nearer than those in a sample of it, so the whole table's
 recall lies above. On vectors without structure (the given ones fill the sphere evenly) that opens most files; on clustered vectors few.
+Both hold for queries that lie among the pivots as the sample does. A query farther from them (its second nearest pivot is beyond the same
+quantile of the sample's) sees all pivots from one side, so their order says little: it opens all files and reranks all postings.
 
 Equal vectors are one posting with their least ids, so a crowd of copies costs nothing. Postings of a file are cut into blocks of bounded
 size, and a block is copied only to the groups of queries that ask for it.
@@ -66,6 +68,12 @@ def orders(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(distances(x.astype(float), pivots), axis=1, kind="stable")[:, :prefix].astype(np.uint16)
 
 
+def apart(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distance of every row to its second nearest pivot (the nearest may be the row itself); to the only one, if there is one."""
+    at = min(1, len(pivots) - 1)
+    return np.partition(distances(x.astype(float), pivots), at, axis=1)[:, at]
+
+
 def positions(order: np.ndarray, pivots: int) -> np.ndarray:
     """Place of every pivot in every row's order; the prefix length where it is not in it."""
     out = np.full((len(order), pivots), order.shape[1], np.int16)
@@ -121,6 +129,7 @@ def search(embeddings: DataFrame, k: int = K, every: int = 100, max_pivots: int
     pivots = sample[:many]  # the sample is in random order
     length, posted = min(prefix, many), min(lists, many)
     first, radius = calibrate(sample, orders(sample, pivots, length), many, posted, k, recall)
+    covered = float(np.quantile(apart(sample, pivots), recall, method="higher"))
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -149,7 +158,13 @@ def search(embeddings: DataFrame, k: int = K, every: int = 100, max_pivots: int
     index = cut_lineage(salted.select("block", "ids", "perm", "v").groupBy("block").applyInArrow(pack, "block long, counts binary, ids binary, perm binary, v binary"))
 
     asked = rows.where(F.col("vec_id") % every == 0)
-    queries = cut_lineage(asked.select("v").dropDuplicates().select(*name_of(F.col("v")), "v").mapInArrow(locate, "h1 long, h2 long, files array<int>, perm binary, v binary"))
+    def isolate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in locate(batches):
+            x = np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, dims)
+            yield b.append_column("apart", pa.array(apart(x, pivots)))
+
+    asked_for = asked.select("v").dropDuplicates().select(*name_of(F.col("v")), "v")
+    queries = cut_lineage(asked_for.mapInArrow(isolate, "h1 long, h2 long, files array<int>, perm binary, v binary, apart double"))
     groups = max(1, -(-queries.count() // GROUP))
     near = F.pmod(F.xxhash64(F.col("files")[0], F.pmod(F.col("h1"), F.lit(max(1, groups // many)))), F.lit(groups))  # neighbours ask for the same files
 
@@ -215,12 +230,11 @@ def search(embeddings: DataFrame, k: int = K, every: int = 100, max_pivots: int
         ranked = Window.partitionBy("h1", "h2").orderBy("score", "vec_id")
         return cut_lineage(hits.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k + 1).drop("_r"))
 
-    best = found(queries, first, radius)
-    if first < many:
-        enough = best.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, size["rows"] or 0))
-        short = cut_lineage(queries.join(enough, ["h1", "h2"], "left_anti"))
-        if not short.isEmpty():
-            best = best.join(short.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(found(short, many, np.iinfo(np.int32).max))
+    best = found(queries.where(F.col("apart") <= covered), first, radius)
+    enough = best.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, size["rows"] or 0))
+    short = cut_lineage(queries.join(enough, ["h1", "h2"], "left_anti"))  # and those that are not covered
+    if not short.isEmpty():
+        best = best.join(short.select("h1", "h2"), ["h1", "h2"], "left_anti").unionByName(found(short, many, np.iinfo(np.int32).max))
     # Query rows with one vector travel together, so a crowd of them is few rows of the join.
     crowd = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(max(1, asked.count() // COPIES)))
     together = asked.select("vec_id", *name_of(F.col("v"))).groupBy("h1", "h2", crowd.alias("part")).agg(F.collect_list("vec_id").alias("queries"))

@@ -125,3 +125,11 @@ def test_few_and_none(spark):
         rows = clustered(n)
         assert compare(P.search(table(spark, rows)).collect(), rows) == (0 if n == 1 else 1)
     assert P.search(table(spark, [])).count() == 0
+
+
+def test_queries_far_from_all_pivots(spark):
+    """A query that lies outside gets its true neighbours, in order, whatever files the sample's neighbours are in."""
+    rows = clustered(1500, 8, 40) + [(10_000 + 100 * i, [0.0] * i + [40.0] + [0.0] * (7 - i)) for i in range(8)]
+    got = sorted((r.query_id, r.rank, r.score, r.vec_id) for r in P.search(table(spark, rows)).collect() if r.query_id >= 10_000)
+    want = sorted((q, r, s, j) for (q, r), (s, j) in brute(rows).items() if q >= 10_000)
+    assert [(q, r, j) for q, r, _, j in got] == [(q, r, j) for q, r, _, j in want]
