@@ -9,6 +9,8 @@ the prefixes themselves: keys that many nodes meet by are moved back, and the pr
 
 Prefixes travel packed, by key; most keys belong to one node and end there. Of the others every pair of nodes that shares enough keys is
 compared by the whole sets, unless that is many pairs: then each key's nodes are first compared with one of them, and pairs that are connected by now are left out.
+Candidate pairs meet by a label that pairs of one crowd share (a star's lead, the least common key). Each task hands on no more links than
+connect its texts, so links grow with the texts and not with the square of a crowd, and only links are merged into components.
 """
 
 from __future__ import annotations
@@ -111,9 +113,8 @@ def frequent_shingles(texts: DataFrame, count: int, width: int = WIDTH) -> tuple
     return codes[order], rank[order]
 
 
-def with_crowded(shared: DataFrame, frequent: np.ndarray, rank: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles and those by which many nodes meet, in the order of their frequency; ``share`` is the sample's part of all documents."""
-    crowded = shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED)
+def with_crowded(crowded: DataFrame, frequent: np.ndarray, rank: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles and the keys (key, n) by which many nodes meet, in the order of their frequency; ``share`` is the sample's part of all documents."""
     rows = crowded.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toArrow()
     codes, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
     # A sampled shingle outside all prefixes is at least as frequent as the sample says; ranks only have to be some order.
@@ -126,53 +127,75 @@ def with_crowded(shared: DataFrame, frequent: np.ndarray, rank: np.ndarray, shar
     return codes[order], place[order]
 
 
-def shared_keys(texts: DataFrame, entries: int, frequent: np.ndarray, rank: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, node, size) of prefix entries whose key several nodes hold."""
+def dealt_prefixes(texts: DataFrame, entries: int, frequent: np.ndarray, rank: np.ndarray, kinds: dict[str, type], width: int, similarity: float) -> DataFrame:
+    """Prefix entries by bucket of the key, packed: ``keys``, and of every entry its set's ``nodes`` and ``sizes`` as the types in ``kinds``."""
     buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // BUCKET_ROWS))
+    names = ["bucket", "keys", *kinds]
 
-    def packed(keys: list[np.ndarray], nodes: list[int], sizes: list[int]) -> pa.RecordBatch:
+    def packed(keys: list[np.ndarray], own: dict[str, list[int]]) -> pa.RecordBatch:
         many = [len(k) for k in keys]
-        key, node, size = np.concatenate(keys), np.repeat(np.array(nodes, np.uint64), many), np.repeat(np.array(sizes, np.int32), many)
-        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        columns = [np.concatenate(keys), *(np.repeat(np.array(own[c], np.uint64).astype(t), many) for c, t in kinds.items())]
+        bucket = (columns[0] % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        key, node, size, bucket = key[order], node[order], size[order], bucket[order]
+        bucket, columns = bucket[order], [c[order] for c in columns]
         starts = np.flatnonzero(np.diff(bucket, prepend=-1))
         cut = [(a, b) for a, b in zip(starts, [*starts[1:], len(bucket)])]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (key, node, size))],
-                                          ["bucket", "keys", "nodes", "sizes"])
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in columns)], names)
 
     def entries_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, sizes, held = [], [], [], 0
-        for _, own in slices(batches):
-            for words in split_words(own, lower=True)[0]:
+        keys, own, held = [], {"nodes": [], "sizes": []}, 0
+        for _, part in slices(batches):
+            for words in split_words(part, lower=True)[0]:
                 codes = shingle_set(words, width)
                 first = prefix(codes, frequent, rank, similarity)
                 if len(first):
                     keys.append(first.copy())
-                    nodes.append(name_of(codes))
-                    sizes.append(len(codes))
+                    own["nodes"].append(name_of(codes))
+                    own["sizes"].append(len(codes))
                     held += len(first)
             if held > FLUSH:
-                yield packed(keys, nodes, sizes)
-                keys, nodes, sizes, held = [], [], [], 0
+                yield packed(keys, own)
+                keys, own, held = [], {"nodes": [], "sizes": []}, 0
         if held:
-            yield packed(keys, nodes, sizes)
+            yield packed(keys, own)
+
+    return texts.select("text").mapInArrow(entries_of, "bucket long, " + ", ".join(f"{c} binary" for c in names[1:]))
+
+
+def unpacked(table: pa.Table, kinds: dict[str, type]) -> list[np.ndarray]:
+    """Entries of one bucket in the order of key and node, each pair of them once (exact copies are one node)."""
+    columns = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in {"keys": np.uint64, **kinds}.items()]
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return [c[new] for c in columns]
+
+
+def crowded_keys(texts: DataFrame, entries: int, frequent: np.ndarray, rank: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, n) of keys in the prefixes of ``CROWDED`` nodes or more; nodes are told apart by 16 bits, which is enough to order keys by."""
+    kinds = {"nodes": np.uint16}
+
+    def count(key: Key, table: pa.Table) -> pa.Table:
+        k, n = np.unique(unpacked(table, kinds)[0], return_counts=True)
+        return pa.table([pa.array(k[n >= CROWDED].view(np.int64)), pa.array(n[n >= CROWDED])], names=["key", "n"])
+
+    return dealt_prefixes(texts, entries, frequent, rank, kinds, width, similarity).groupBy("bucket").applyInArrow(count, "key long, n long")
+
+
+def shared_keys(texts: DataFrame, entries: int, frequent: np.ndarray, rank: np.ndarray, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, node, size) of prefix entries whose key several nodes hold."""
+    kinds = {"nodes": np.uint64, "sizes": np.int32}
 
     def meet(key: Key, table: pa.Table) -> pa.Table:
-        k, node, size = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", np.uint64), ("nodes", np.uint64), ("sizes", np.int32)))
-        order = np.lexsort((node, k))
-        k, node, size = k[order], node[order], size[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1])  # exact copies once
-        k, node, size = k[new], node[new], size[new]
+        k, node, size = unpacked(table, kinds)
         same = k[1:] == k[:-1]
         many = np.zeros(len(k), bool)
         many[1:] |= same
         many[:-1] |= same
         return pa.table([pa.array(k[many].view(np.int64)), pa.array(node[many].view(np.int64)), pa.array(size[many])], names=["key", "node", "size"])
 
-    sent = texts.select("text").mapInArrow(entries_of, "bucket long, keys binary, nodes binary, sizes binary")
-    return sent.groupBy("bucket").applyInArrow(meet, "key long, node long, size int")
+    return dealt_prefixes(texts, entries, frequent, rank, kinds, width, similarity).groupBy("bucket").applyInArrow(meet, "key long, node long, size int")
 
 
 def sizes_fit(a: Column, b: Column, similarity: float) -> Column:
@@ -187,21 +210,22 @@ def enough_keys(a: Column, b: Column, keys: Column, similarity: float) -> Column
 
 
 def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a, b) of nodes whose whole sets reach the similarity.
+    """Pairs (a, b) of nodes whose whole sets reach the similarity, without those that the others of their bucket connect.
 
-    Pairs that hang together meet in one bucket, so most texts travel once; ``first`` names a row of every node. Buckets hold about
-    ``BUCKET_BYTES`` of text: a crowd of nodes is cut into chunks by its bytes, and every pair of chunks is dealt by itself.
+    Pairs (a, b, label) of one label meet in one bucket, so most texts travel once; ``first`` names a row of every node. Buckets hold about
+    ``BUCKET_BYTES`` of text: the nodes of a label are cut into chunks by their bytes, and every pair of chunks is dealt by itself.
     """
     pairs = cut_lineage(pairs)
-    own = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(connected(pairs), "node", "left")
-    own = cut_lineage(own.withColumn("root", F.coalesce("root", "node")).join(first.select("node", "first.row", "first.bytes"), "node"))
-    many = own.groupBy("root").agg(F.ceil(2 * F.sum("bytes") / BUCKET_BYTES).alias("chunks")).withColumn("chunks", F.greatest("chunks", F.lit(1)))
-    own = own.join(many, "root").select("node", "root", "row", "bytes", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).alias("chunk"))
-    one, two = (own.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"), F.col("chunk").alias(f"chunk_{c}")) for c in "ab")
-    dealt = pairs.join(one, "a").join(two, "b")
-    group = F.xxhash64("root_a", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b")).alias("group")
-    dealt = cut_lineage(dealt.select("a", "b", group))
-    places = cut_lineage(dealt.select("group", F.explode(F.array("a", "b")).alias("node")).distinct().join(own.select("node", "row", "bytes"), "node"))
+    own = pairs.select("label", F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = cut_lineage(own.join(first.select("node", "first.row", "first.bytes"), "node"))
+    many = own.groupBy("label").agg(F.ceil(2 * F.sum("bytes") / BUCKET_BYTES).alias("chunks")).where(F.col("chunks") > 1)
+    chunks = F.coalesce("chunks", F.lit(1).cast("long"))
+    own = own.join(many, "label", "left").select("label", "node", "row", "bytes", F.pmod(F.xxhash64("node", F.lit(1)), chunks).alias("chunk"))
+    one, two = (own.select("label", F.col("node").alias(c), F.col("chunk").alias(f"chunk_{c}"), F.col("row").alias(f"row_{c}"), F.col("bytes").alias(f"bytes_{c}")) for c in "ab")
+    group = F.xxhash64("label", F.least("chunk_a", "chunk_b"), F.greatest("chunk_a", "chunk_b")).alias("group")
+    dealt = cut_lineage(pairs.join(one, ["label", "a"]).join(two, ["label", "b"]).select("a", "b", "row_a", "row_b", "bytes_a", "bytes_b", group))
+    ends = F.explode(F.array(*[F.struct(F.col(c).alias("node"), F.col(f"row_{c}").alias("row"), F.col(f"bytes_{c}").alias("bytes")) for c in "ab"])).alias("end")
+    places = cut_lineage(dealt.select("group", ends).select("group", "end.*").distinct())
     size = places.agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
     buckets = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES), -(-dealt.count() // BUCKET_PAIRS))
     bucket = F.pmod(F.xxhash64("group", F.lit(2)), F.lit(buckets)).alias("bucket")
@@ -214,16 +238,26 @@ def verified(pairs: DataFrame, texts: DataFrame, first: DataFrame, width: int =
             for b, words_of in slices(iter([batch])):
                 for node, words in zip(b.column("node").to_pylist(), split_words(words_of, lower=True)[0]):
                     whole[node] = shingle_set(words, width)
-        good = []
+        tree, good = {}, []
         for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            common = len(np.intersect1d(whole[a], whole[b], assume_unique=True))
-            good.append(common >= similarity * (len(whole[a]) + len(whole[b]) - common) - 1e-9)
+            if new := (i := root_in(tree, a)) != (j := root_in(tree, b)):
+                common = len(np.intersect1d(whole[a], whole[b], assume_unique=True))
+                if new := common >= similarity * (len(whole[a]) + len(whole[b]) - common) - 1e-9:
+                    tree[i] = j
+            good.append(new)
         give_back()
         return left.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return dealt.select("a", "b", bucket).groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(compare, "a long, b long")
 
 
+def root_in(tree: dict[int, int], node: int) -> int:
+    """Root of a node; the way there is halved."""
+    while (up := tree.get(node, node)) != node:
+        tree[node] = node = tree.get(up, up)
+    return node
+
+
 def meetings(met: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides of the join of ``met`` (key, node, size, root) with itself on key, for columns (key, one, two).
 
@@ -242,36 +276,42 @@ def linked_prints(prints: DataFrame, texts: DataFrame, first: DataFrame, width:
     """Pairs (a, b) of similar nodes whose fingerprints (node, fp) are equal or linked: one pair per node and per link of a star."""
     lead = cut_lineage(prints.groupBy("fp").agg(F.min("node").alias("lead")))
     stars = links(lead.select("fp"), lead.count()).distinct()
-    alike = prints.join(lead, "fp").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    alike = prints.join(lead, "fp").select(F.col("node").alias("one"), F.col("lead").alias("two"))
     far = stars.join(lead.select(F.col("fp").alias("a"), F.col("lead").alias("one")), "a").join(lead.select(F.col("fp").alias("b"), F.col("lead").alias("two")), "b")
-    pairs = alike.union(far.select("one", "two")).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = alike.union(far.select("one", "two")).where(F.col("one") != F.col("two"))
+    pairs = pairs.groupBy(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).agg(F.min("two").alias("label"))
     return verified(pairs, texts, first, width, similarity)
 
 
 def components(shared: DataFrame, texts: DataFrame, first: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, pairs_per_entry: int = PAIRS, found: DataFrame | None = None) -> DataFrame:
     """(node, root) of every node with a link; ``shared`` has the keys that nodes meet by, ``found`` pairs that link already."""
-    edges = None if found is None else cut_lineage(found)
-    group = None if edges is None else connected(edges)
+    group, before = None if found is None else connected(cut_lineage(found)), None
     for turn in range(STAR_ROUNDS + 1):
-        met = shared.withColumn("root", F.col("node")) if group is None else shared.join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        met = shared.withColumn("root", F.col("node")) if group is None else cut_lineage(shared.join(group, "node", "left").withColumn("root", F.coalesce("root", "node")))
         counts = met.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
         counts = cut_lineage(counts.where(F.col("n") * F.col("n") > F.col("inside")))
         left = counts.agg(F.sum("n").alias("entries"), F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs")).first()
-        met = met.join(counts.select("key"), "key", "left_semi")
-        stars = (left["pairs"] or 0) > pairs_per_entry * max(left["entries"] or 0, 1000) and turn < STAR_ROUNDS
+        met = cut_lineage(met.join(counts.select("key"), "key", "left_semi"))
+        shared = met.drop("root")  # a key of one root has one for good
+        many = left["pairs"] or 0
+        # Texts that share passages and are not similar stay apart whatever leads: once stars stop halving the pairs, they are done.
+        stars = many > pairs_per_entry * max(left["entries"] or 0, 1000) and turn < STAR_ROUNDS and (before is None or 2 * many <= before)
+        before = many
         if stars:
             lead = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "size", "root")).alias("lead"))
             both = met.join(lead, "key").where((F.col("root") != F.col("lead.root")) & sizes_fit(F.col("size"), F.col("lead.size"), similarity))
-            pairs = both.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+            both = both.select("node", F.col("lead.node").alias("b"), "size", F.col("lead.size").alias("size_b"), F.col("lead.node").alias("label"))
         else:
-            one, two = meetings(cut_lineage(met), counts)
+            one, two = meetings(met, counts)
             once = (F.col("one") == F.col("two")) | (F.col("chunk") != F.col("chunk_b"))
             both = one.join(two, ["key", "one", "two"]).where(once & (F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & sizes_fit(F.col("size"), F.col("size_b"), similarity))
-            both = both.groupBy(F.col("node").alias("a"), "b", "size", "size_b").agg(F.count("*").alias("keys"))
-            pairs = both.where(enough_keys(F.col("size"), F.col("size_b"), F.col("keys"), similarity)).select("a", "b")
+            both = both.select("node", "b", "size", "size_b", F.col("key").alias("label"))
+        # A star misses keys that another node leads, so half of them will do; what it passes over is met in the last turn.
+        pairs = both.groupBy("node", "b", "size", "size_b").agg(F.count("*").alias("keys"), F.min("label").alias("label"))
+        pairs = pairs.where(enough_keys(F.col("size"), F.col("size_b"), F.col("keys") * (2 if stars else 1), similarity))
+        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), "label")
         found = verified(pairs, texts, first, width, similarity)
-        edges = cut_lineage(found if edges is None else edges.union(found))
-        group = connected(edges)
+        group = connected(cut_lineage(found if group is None else group.toDF("a", "b").union(found)))
         if not stars:
             return group
 
@@ -291,8 +331,8 @@ def drop_near_copies(documents: DataFrame, width: int = WIDTH, similarity: float
     size = stored.agg(F.count("*").alias("n"), F.sum("bytes").alias("chars")).first()
     frequent, rank = frequent_shingles(texts, size["n"], width)
     # Some six characters a word, and a prefix of some fifth of the words.
-    shared = cut_lineage(shared_keys(texts, (size["chars"] or 0) // 30, frequent, rank, width, similarity))
-    frequent, rank = with_crowded(shared, frequent, rank, min(1.0, SAMPLE / max(size["n"], 1)))
+    crowded = cut_lineage(crowded_keys(texts, (size["chars"] or 0) // 30, frequent, rank, width, similarity))
+    frequent, rank = with_crowded(crowded, frequent, rank, min(1.0, SAMPLE / max(size["n"], 1)))
     shared = cut_lineage(shared_keys(texts, (size["chars"] or 0) // 30, frequent, rank, width, similarity))
     prints = stored.select("node", "fp").distinct()  # sets forget repeats and order, so one may have several
     found = linked_prints(prints, texts, first, width, similarity)

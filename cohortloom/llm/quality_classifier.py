@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.texts import Key, fold_is_zero, labelled_sample, mix64, slices, split_words
+from cohortloom.llm.texts import Key, fold_is_zero, give_back, labelled_sample, mix64, slices, split_words
 
 ROWS = 1 << 15
 DIMS = 64
@@ -217,8 +217,10 @@ def train(documents: DataFrame, labels: DataFrame, folds: int | None = FOLDS, li
             yield pa.RecordBatch.from_arrays([b.column("_target"), b.column("doc_id"), pa.array(list(pooled(texts, vectors)))], ["target", "doc_id", "x"])
 
     table = labelled_sample(documents, labels, folds, limit).mapInArrow(measure, "target double, doc_id long, x array<float>").toArrow().sort_by("doc_id")
-    x = np.array(table["x"].to_pylist(), float).reshape(-1, 2 * DIMS + 1)
-    return Classifier(vectors, fit(x, table["target"].to_numpy()))
+    x = table["x"].combine_chunks().flatten().to_numpy().astype(float).reshape(-1, 2 * DIMS + 1)  # no list of numbers: the driver has little room
+    model = Classifier(vectors, fit(x, table["target"].to_numpy()))
+    give_back()
+    return model
 
 
 def score(documents: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm import boosting
-from cohortloom.llm.texts import SPACES, Numbering, labelled_sample, mix64, number_words, segment_sums, slices, split_words
+from cohortloom.llm.texts import SPACES, Numbering, give_back, labelled_sample, mix64, number_words, segment_sums, slices, split_words
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -98,8 +98,10 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, fold
             yield pa.RecordBatch.from_arrays([b.column("_target"), b.column("doc_id"), pa.array(list(x))], ["target", "doc_id", "x"])
 
     table = sample.mapInArrow(measure, "target double, doc_id long, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(table["x"].to_pylist(), float).reshape(-1, len(FEATURES))
-    return boosting.fit(x, table["target"].to_numpy(), np.array(list(FEATURES.values())), **options)
+    x = table["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
+    forest = boosting.fit(x, table["target"].to_numpy(), np.array(list(FEATURES.values())), **options)
+    give_back()
+    return forest
 
 
 def assess(documents: DataFrame, forest: boosting.Forest, keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:

@@ -124,3 +124,16 @@ def test_fingerprints_link_first(spark, monkeypatch):
     own = {N.name_of(N.shingle_set((t or "").lower().encode().split())): shingles(t) for _, t, _ in rows}
     names = {np.uint64(k).view(np.int64).item(): v for k, v in own.items()}
     assert met[0] and all(linked(names[a], names[b]) and names[a] != names[b] for a, b in met[0])
+
+
+def test_links_grow_with_the_texts(spark, monkeypatch):
+    """A crowd of near copies is merged from few links, not from all its pairs, also where every pair meets."""
+    r = random.Random(2)
+    base = [f"w{r.randrange(9000)}" for _ in range(150)]
+    rows = [(i, " ".join([*base[:2 * i], f"own{i}", *base[2 * i + 1:]]), "a") for i in range(60)]
+    merged, whole = [], N.connected
+    monkeypatch.setattr(N, "connected", lambda edges: merged.append(edges.count()) or whole(edges))
+    monkeypatch.setattr(N, "linked_prints", lambda *args: spark.createDataFrame([], "a long, b long"))
+    got = sorted(x.doc_id for x in N.drop_near_copies(documents(spark, rows), pairs_per_entry=10**9).collect())
+    assert got == kept(rows) == [0]
+    assert 59 <= max(merged) <= 10 * len(rows) < 60 * 59 / 2
