@@ -188,3 +188,56 @@ def test_passes_read_cells(spark):
         sums = np.array([np.frombuffer(r.sums) for r in table.collect()]).sum(axis=0)
         assert sums[0] == d.count() == sums[3] and sums[4] == pytest.approx(d.groupBy().sum("y").first()[0])
     assert sizes[0] == sizes[1] <= 4 * 4 * 3
+
+
+@pytest.mark.parametrize("changes", [{}, {"ROW_BYTES": 10**6}, {"ROW_BYTES": 10**6, "CELL_NUMBERS": 700 * 63}, {"CELL_ROWS": 100}, {"SENT": None}])
+def test_cells_are_sent_as_sums_or_rows(spark, monkeypatch, changes):
+    """What tasks send is bounded by the rows, or by what a few tasks hold; one cell with half of the rows and missing keys and folds change nothing."""
+    r = np.random.default_rng(8)
+    n, reps = 6000, 30
+    rows = [(None if i % 997 == 5 else i, None if i % 500 == 3 else i % 4, *((0.0, 0.0) if i % 2 else (float(r.integers(0, 20)), float(r.integers(0, 15)))), float(r.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, fold int, a double, b double, y double")
+    binned = B.bin_rows(df, "id", ["a", "b"], "y", "fold", 7)
+    if "SENT" in changes:
+        changes = {}
+        binned = replace(binned, table=binned.table.coalesce(1))
+    for name, v in changes.items():
+        monkeypatch.setattr(B, name, v)
+    weightings = [*((k, 1.0, 0, B.NOBODY) for k in range(reps - 2)), (R.PLAIN, 0.3, 5, 0), (R.PLAIN, 0.8, 5, 0)]
+    moved, plain = [], type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, *a: (moved.append(self), plain(self, *a))[1])
+    got = {(x.fold, x.cell): np.frombuffer(x.sums) for x in B.cells(binned, weightings, 0.5).collect()}
+    few, size = spark.sparkContext.defaultParallelism, 8 * (3 + 2 * reps)
+    sent = moved[-1].selectExpr("coalesce(sum(length(sums)), 0) + coalesce(sum(length(rows)), 0) AS bytes" if "rows" in moved[-1].columns else "sum(length(sums)) AS bytes").first()[0]
+    assert sent <= (few * binned.cells * 1.2 * size if "ROW_BYTES" in changes else n * 32)
+
+    table = binned.table.toPandas()
+    h1, h2 = (np.where(table[h].isna(), np.nan, table[h]) for h in ("h1", "h2"))
+    w = R.weights_of(h1, h2, reps - 2)
+    known = ~np.isnan(h1)
+    u = np.zeros(n)
+    u[known] = B.sampled(h1[known].astype(np.int64), h2[known].astype(np.int64), 5, 0)
+    want = {}
+    for i in range(n):
+        key = (None if np.isnan(table.fold[i]) else int(table.fold[i]), bytes(table.bins[i]))
+        weight = np.append(w[i], [u[i] < 0.3 * 2**24, u[i] < 0.8 * 2**24])
+        z = table.y[i] - 0.5
+        want[key] = want.get(key, 0) + np.array([1, z, z * z, *weight, *(weight * table.y[i])])
+    nobody = np.iinfo(np.int32).min
+    assert {(nobody if f is None else f, c) for f, c in want} == {(nobody if f is None else f, c) for f, c in got}
+    for (f, c), v in want.items():
+        other = got[f if (f, c) in got else nobody, c]
+        some = np.arange(len(v)) < 3 + reps - 2 if not known.all() else slice(None)
+        assert np.allclose(v[some], other[some])
+
+
+def test_large_tables_of_cells_are_not_made(spark, monkeypatch):
+    df = repeated(spark)
+    params = {"n_estimators": 2, "max_depth": 2, "eta": 0.4}
+    want = [r.r2 for r in B.gbt_bootstrap(df, "id", X, "y", "fold", params, 3)[0].orderBy("rep").collect()]
+    monkeypatch.setattr(B, "CELL_BYTES", 0)
+    monkeypatch.setattr(B, "ROW_BYTES", 1)
+    made, cells = [], B.cells
+    monkeypatch.setattr(B, "cells", lambda binned, weightings, *a: (made.append(len(weightings)), cells(binned, weightings, *a))[1])
+    got = [r.r2 for r in B.gbt_bootstrap(df, "id", X, "y", "fold", params, 3)[0].orderBy("rep").collect()]
+    assert made == [0] and np.allclose(got, want)
