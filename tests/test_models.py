@@ -525,3 +525,96 @@ def test_models_read_many_rows_in_bounded_tasks(spark, monkeypatch):
     assert C.gmm_search(df, ["a"], [2])[0].groupBy("cluster").count().count() == 2
     monkeypatch.setattr(trees, "TASK_ROWS", 30)
     assert trees.spread_rows(df).rdd.getNumPartitions() == 14
+
+
+def test_hyper_search_is_whole(spark, monkeypatch):
+    """The query asks for fifty draws of all seven parameters, over their whole ranges, in three folds."""
+    import inspect
+
+    from cohortloom.plans import catalog, cluster_queries
+
+    asked, plain = [], trees.search
+
+    def search(*a, **k):
+        asked.append(inspect.signature(plain).bind(*a, **k))
+        asked[-1].apply_defaults()
+        return None, spark.createDataFrame([(0, 0.5)], "trial int, r2 double")
+
+    monkeypatch.setattr(cluster_queries.G, "search", search)
+    catalog.QUERIES["hyper_search"](spark, "/root/testdata/sf0.001")
+    got = asked[0].arguments
+    assert (got["n_iter"], got["cv"]) == (50, 3)
+    assert got["space"] == {
+        "n_estimators": (50, 2001, "int"), "min_child_weight": (1, 11, "int"), "gamma": (0.01, 5.0, "log"), "eta": (0.005, 0.5, "log"),
+        "subsample": (0.2, 1.0, "real"), "colsample_bytree": (0.2, 1.0, "real"), "max_depth": (2, 6, "int")}
+
+
+def table_with_id(spark, n=1500):
+    r = np.random.default_rng(9)
+    rows = [(i, float(r.integers(0, 40)), float(r.integers(0, 3)), float(r.normal())) for i in range(n)]
+    return spark.createDataFrame([(i, a, b, float(3 * b + np.sin(a / 6) * 5 + e)) for i, a, b, e in rows] + [(n + 500, 1.0, 1.0, None)], "id long, a double, b double, y double")
+
+
+def test_search_that_counts_rows_equals_spark(spark):
+    """Least rows in a leaf and least gain as Spark's trees have them, which read the rows."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    df = table_with_id(spark)
+    space = {"n_estimators": (2, 6, "int"), "max_depth": (2, 5, "int"), "eta": (0.2, 0.5, "real"), "min_child_weight": (8, 40, "int"), "gamma": (0.001, 0.3, "log")}
+    _, trials = trees.search(df, "id", ["a", "b"], "y", space, n_iter=3, cv=3, seed=3)
+    folded = trees.assemble(resample.assign_folds(df.where("y IS NOT NULL"), "id", 3, "search:3", "_cv"), ["a", "b"]).persist()
+    for x, draw in zip(trials.orderBy("trial").collect(), trees.draw_params(space, 3, 3)):
+        model = GBTRegressor(featuresCol="_features", labelCol="y", seed=3, **trees.spark_params(draw))
+        scores = [RegressionEvaluator(labelCol="y", metricName="r2").evaluate(model.fit(folded.where(F.col("_cv") != f)).transform(folded.where(F.col("_cv") == f))) for f in range(3)]
+        assert x.r2 == pytest.approx(np.mean(scores), abs=1e-9)
+
+
+def test_search_samples_rows(spark, monkeypatch):
+    """A tree of a sample is Spark's tree of the rows whose hashes fall below the share; partitions, blocks and groups change nothing."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    from cohortloom.functions.hashing import with_replicate_hashes
+    from cohortloom.operators import boosting, tree_search
+
+    df = table_with_id(spark).withColumn("a", F.col("a") % 20)
+    space = {"n_estimators": (1, 1, "int"), "max_depth": (2, 4, "int"), "subsample": (0.5, 0.9, "real")}
+    _, trials = trees.search(df, "id", ["a", "b"], "y", space, n_iter=3, cv=2, seed=3)
+    folded = with_replicate_hashes(resample.assign_folds(df.where("y IS NOT NULL"), "id", 2, "search:3", "_cv"), "id", 3).toPandas()
+    number = boosting.sampled(folded._h1.to_numpy(), folded._h2.to_numpy(), 3, 0)
+    for x, draw in zip(trials.orderBy("trial").collect(), trees.draw_params(space, 3, 3)):
+        scores = []
+        for f in range(2):
+            train, held = (trees.assemble(spark.createDataFrame(t[["a", "b", "y"]]), ["a", "b"]) for t in (folded[(folded._cv != f) & (number < draw["subsample"] * 2**24)], folded[folded._cv == f]))
+            model = GBTRegressor(featuresCol="_features", labelCol="y", maxIter=1, maxDepth=draw["max_depth"]).fit(train)
+            scores.append(RegressionEvaluator(labelCol="y", metricName="r2").evaluate(model.transform(held)))
+        assert x.r2 == pytest.approx(np.mean(scores), abs=1e-9)
+
+    space = {"n_estimators": (3, 9, "int"), "max_depth": (2, 4, "int"), "subsample": (0.4, 1.1, "real"), "colsample_bytree": (0.3, 1.0, "real"), "eta": (0.2, 0.5, "real")}
+    want = [r.r2 for r in trees.search(df, "id", ["a", "b"], "y", space, n_iter=5, cv=3, seed=4)[1].orderBy("trial").collect()]
+    assert all(0 < r < 1 for r in want) and len(set(want)) == 5
+    for name, v in [("BLOCK_NUMBERS", 2000), ("STATE_NUMBERS", 400), ("SCAN_ROWS", 50), ("TASK_ROWS", 300)]:
+        monkeypatch.setattr(tree_search, name, v)
+    got = [r.r2 for r in trees.search(df.repartition(5), "id", ["a", "b"], "y", space, n_iter=5, cv=3, seed=4)[1].orderBy("trial").collect()]
+    assert np.allclose(got, want)
+
+
+def test_search_of_continuous_features(spark, monkeypatch):
+    """Cells are sets of bins, so distinct features of every row give no more of them; beyond a bound Spark ML fits the rows."""
+    from cohortloom.operators import tree_search
+
+    df = table_with_id(spark, 600).withColumn("a", F.col("a") + F.rand(1))
+    known = resample.assign_folds(df.where("y IS NOT NULL"), "id", 3, "search:1", "_cv")
+    cells, rows = tree_search.gather(known, "id", ["a", "b"], "y", "_cv", 3, 1, True)
+    assert cells.n.sum() == 600 == rows.count() and all(len(own) <= 32 * 3 for own in cells.own)
+    monkeypatch.setattr(tree_search, "MAX_VALUES", 100)
+    again, _ = tree_search.gather(known, "id", ["a", "b"], "y", "_cv", 3, 1, False)
+    assert again.n.sum() == 600 and all(len(own) <= 32 * 3 for own in again.own)
+    space = {"n_estimators": (3, 4, "int"), "max_depth": (2, 3, "int"), "subsample": (0.7, 0.9, "real")}
+    one = trees.search(df, "id", ["a", "b"], "y", space, n_iter=2, cv=2)[1].orderBy("trial").collect()
+    monkeypatch.setattr(tree_search, "MAX_CELLS", 5)
+    two = trees.search(df, "id", ["a", "b"], "y", space, n_iter=2, cv=2)[1].orderBy("trial").collect()
+    assert all(abs(x.r2 - y.r2) < 0.1 for x, y in zip(one, two))
+    with pytest.raises(ValueError):
+        tree_search.gather(known.withColumn("b", F.when(F.col("id") != 7, F.col("b"))), "id", ["a", "b"], "y", "_cv", 3, 1, False)
