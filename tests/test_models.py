@@ -594,7 +594,7 @@ def test_search_samples_rows(spark, monkeypatch):
     space = {"n_estimators": (3, 9, "int"), "max_depth": (2, 4, "int"), "subsample": (0.4, 1.1, "real"), "colsample_bytree": (0.3, 1.0, "real"), "eta": (0.2, 0.5, "real")}
     want = [r.r2 for r in trees.search(df, "id", ["a", "b"], "y", space, n_iter=5, cv=3, seed=4)[1].orderBy("trial").collect()]
     assert all(0 < r < 1 for r in want) and len(set(want)) == 5
-    for name, v in [("BLOCK_NUMBERS", 2000), ("STATE_NUMBERS", 400), ("SCAN_ROWS", 50), ("TASK_ROWS", 300)]:
+    for name, v in [("BLOCK_NUMBERS", 2000), ("STATE_NUMBERS", 400), ("SCAN_ROWS", 50), ("TASK_ROWS", 300), ("SCAN_TASK_ROWS", 500)]:
         monkeypatch.setattr(tree_search, name, v)
     got = [r.r2 for r in trees.search(df.repartition(5), "id", ["a", "b"], "y", space, n_iter=5, cv=3, seed=4)[1].orderBy("trial").collect()]
     assert np.allclose(got, want)
